@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, telephony, url_filter
+from . import exact_dedup, minhash, mixing, sharding, telephony, url_filter
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -37,6 +41,7 @@ def queries() -> dict:
         "op4_media": op4_media,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_sharding": op8_sharding,
+        "op9_minhash": op9_minhash,
     }
 
 
@@ -45,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filters": url_filter.url_filter_sql(),
         "op3_mixing": mixing.mixing_sql(),
         "op6_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
+        "op9_minhash": minhash.NEAR_DEDUP_SQL,
     }
