@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, sharding, telephony, url_filter
+from . import exact_dedup, minhash, mixing, sharding, suffix_dedup, telephony, url_filter
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(read(spark, sf_dir, "documents"), with_texts=False)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -40,6 +44,7 @@ def queries() -> dict:
         "op3_mixing": op3_mixing,
         "op4_media": op4_media,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sharding": op8_sharding,
         "op9_minhash": op9_minhash,
     }
