@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, sharding, suffix_dedup, telephony, url_filter
+from . import exact_dedup, minhash, mixing, sharding, suffix_dedup, telephony, toxicity, url_filter
 from .common import read
 
 
@@ -21,6 +21,12 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.audio_features(telephony.store_audio(read(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "hits")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), digest_all=True)
 
@@ -43,6 +49,7 @@ def queries() -> dict:
         "op1_url_filters": op1_url_filters,
         "op3_mixing": op3_mixing,
         "op4_media": op4_media,
+        "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sharding": op8_sharding,
