@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, sharding, suffix_dedup, telephony, toxicity, url_filter
+from . import exact_dedup, minhash, mixing, pieces, sharding, suffix_dedup, telephony, toxicity, url_filter
 from .common import read
 
 
@@ -13,6 +13,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(read(spark, sf_dir, "documents"), tokens=False)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_mixing": op3_mixing,
         "op4_media": op4_media,
         "op5_toxicity": op5_toxicity,
