@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, pieces, sharding, suffix_dedup, telephony, toxicity, url_filter
+from . import exact_dedup, licenses, minhash, mixing, pieces, sharding, suffix_dedup, telephony, toxicity, url_filter
 from .common import read
 
 
@@ -48,6 +48,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", F.size("matches").alias("n_licenses"), F.array_join(F.col("matches.template"), ",").alias("licenses"), F.array_max(F.col("matches.contained")).alias("contained"), F.array_min(F.col("matches.first_word")).alias("first_word"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -59,6 +64,7 @@ def queries() -> dict:
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sharding": op8_sharding,
         "op9_minhash": op9_minhash,
+        "op10_licenses": op10_licenses,
     }
 
 
