@@ -59,6 +59,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each text, that of the largest id (the first met of rows that repeat id and text)."""
+    judged = exact_dedup(docs, id_col, text_col, digest_all=True)
+    gone = cut(judged.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_hash")).distinct())
+    repeated = not judged.where("kept").groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    own = docs.withColumn("_hash_", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+    out = own.join(gone.hint("shuffle_hash"), own[id_col].eqNullSafe(gone["_id"]) & (own["_hash_"] == gone["_hash"]), "left_anti")
+    if repeated:
+        out = out.dropDuplicates([id_col, "_hash_"])
+    return out.drop("_hash_")
+
+
 EXACT_DEDUP_SQL = """
 SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -76,8 +76,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
     return weighed.select("no_source", "source", "source_size", "rank", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_passes: int = MAX_PASSES, share: float = 1.0, schedules=SCHEDULES) -> DataFrame:
-    """id_col, size, source_size, target, taken, passes, position for every row, range-sorted by position.
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_passes: int = MAX_PASSES, share: float = 1.0) -> DataFrame:
+    """id, crc (of the text), size, source_size, rank, target, turn, before (words of the source ahead of the row), full_passes, part, taken for every row.
 
     The running sums over a source are made in two levels: sums of buckets of the md5 order, then rows of one bucket, so that a source with most
     of the rows is still dealt out to many tasks.
@@ -85,6 +85,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = cut(docs.select(
         F.col(id_col).alias("id"), words(text_col).alias("size"), F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("turn"),
+        F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("crc"),
     ))
     bits = min(17, max(3, (base.count().bit_length() + 1) // 2))
     base = base.withColumn("bucket", F.shiftright(F.conv(F.substring("turn", 1, 5), 16, 10).cast("int"), 20 - bits))
@@ -93,15 +94,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = source_targets(buckets.groupBy(*key).agg(F.sum("bucket_size").alias("source_size")), weights, max_passes, share)
     ahead = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = cut(buckets.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).join(targets, key).drop("bucket_size"))
-    within = Window.partitionBy(*key, "bucket").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*key, "bucket").orderBy("turn", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.join(buckets, [*key, "bucket"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     whole = F.floor("target").cast("long")
     rows = rows.withColumn("full_passes", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as long) div source_size")).otherwise(F.lit(0).cast("long")))
     rest = whole - F.col("full_passes") * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least("size", rest - F.col("before")))
-    rows = rows.withColumn("part", part).withColumn("taken", F.col("full_passes") * F.col("size") + F.col("part"))
-    rows = rows.withColumn("y", F.when(F.col("taken") > 0, (F.col("before") + F.col("size").cast("double") / 2) / F.col("target")))
-    rows = rows.withColumn("position", F.round(F.expr(position_sql(schedules, "rank", "y")), 9))
+    return rows.withColumn("part", part).withColumn("taken", F.col("full_passes") * F.col("size") + F.col("part"))
+
+
+def _positioned(rows: DataFrame, number, schedules) -> DataFrame:
+    """rows with the position of their pass of that number."""
+    y = (number * F.col("source_size") + F.col("before") + F.col("size").cast("double") / 2) / F.col("target")
+    rows = rows.withColumn("y", F.when(F.col("taken") > 0, y))
+    return rows.withColumn("position", F.round(F.expr(position_sql(schedules, "rank", "y")), 9))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_passes: int = MAX_PASSES, share: float = 1.0, schedules=SCHEDULES) -> DataFrame:
+    """id_col, size, source_size, target, taken, passes, position (of the first pass) for every row, range-sorted by position."""
+    rows = _positioned(mix_plan(docs, id_col, text_col, source_col, weights, max_passes, share), F.lit(0), schedules)
     # what isn't taken has no position and is spread over the sort's ranges behind the rest
     last = F.coalesce(F.col("position"), 2 + (F.col("before") + F.conv(F.substring("turn", 1, 5), 16, 10).cast("double")) / (F.col("source_size") + 1048576))
     out = rows.withColumn("_at", last).repartitionByRange("_at", "turn").sortWithinPartitions("_at", "turn")
@@ -109,6 +120,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", passes.alias("passes"), "position")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_passes: int = MAX_PASSES, share: float = 1.0, schedules=SCHEDULES) -> DataFrame:
+    """The rows of docs in training order, with all their columns: one for each pass that takes words of the document. The document on a target's edge comes whole."""
+    rows = mix_plan(docs, id_col, text_col, source_col, weights, max_passes, share).where("taken > 0")
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full_passes") + (F.col("part") > 0).cast("long") - 1)))
+    rows = _positioned(rows, F.col("pass"), schedules).select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "turn", "position")
+    own = docs.withColumn("_own", F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    joined = own.join(rows.hint("shuffle_hash"), own[id_col].eqNullSafe(rows["_id"]) & (own["_own"] == rows["_crc"]))
+    return joined.repartitionByRange("position", "turn").sortWithinPartitions("position", "turn").select(*[own[c] for c in docs.columns])
+
+
 def mixing_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(doc_id::VARCHAR) AS turn FROM documents),

@@ -297,3 +297,16 @@ def score_texts(docs: DataFrame, model: tuple[list, tuple], id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([n for _, n in found], pa.int32())], names=["id", "score", "predicted", "hits"])
 
     return narrow.mapInArrow(run, f"id {kind}, score double, predicted int, hits int").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: tuple[list, tuple], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score below the threshold: one pass, no shuffle."""
+    terms, coefficients = model
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(terms, coefficients)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(scorer.features(t.as_py())[0]) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
