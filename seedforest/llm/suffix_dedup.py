@@ -5,7 +5,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier (in a
 Every window of LENGTH bytes names an anchor in itself: its rightmost smallest GRAM-gram by hash. Equal windows have the same anchor at the same place,
 so only windows of one anchor hash need comparing, and there is about one anchor in 40 bytes. The windows of one anchor start in a row and make up its region.
 
-1. Regions are keyed by anchor hash and region hash (128 bits together). All but the first of equal regions go whole. Chunks send only their own first region of a key,
+1. Regions are keyed by anchor hash and region hash (112 bits together). All but the first of equal regions go whole. Chunks send only their own first region of a key,
    so a passage that very many documents share reaches a bucket once a chunk at most.
 2. Where an anchor hash has different regions (the edges of shared passages), the first of each is cut into blocks of OFFSETS window starts. Blocks meet by the hash of
    the bytes that all windows of a block have in common, so a common line among varied text falls apart into many groups.
@@ -33,10 +33,12 @@ from . import vec
 from .common import cut, spans_of_texts, text_buffer
 
 LENGTH = 100
-GRAM = 24
-OFFSETS = 9
+GRAM = 20
+OFFSETS = 27
+REGION_BYTES = 6
 CHUNK = 1 << 21
 BUCKET_BYTES = 1 << 22
+NO_ID = -(1 << 63)
 _U = np.uint64
 LOW = _U(0xFFFFFFFF)
 
@@ -155,22 +157,41 @@ class Suffixes:
         return out
 
 
-def _column(table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+def _column(table, name: str) -> np.ndarray:
+    """The values of all rows, from the byte planes that _deal wrote."""
+    counts = [len(x) // 8 for x in table.column("doc").to_pylist()]
+    out = np.zeros((sum(counts), 8), np.uint8)
+    at = 0
+    for n, blob in zip(counts, table.column(name).to_pylist(), strict=True):
+        planes = np.frombuffer(blob, np.uint8).reshape(-1, n)
+        out[at : at + n, : len(planes)] = planes.T
+        at += n
+    return out.reshape(-1).view(_U)
 
 
-def _deal(bucket: np.ndarray, columns: dict[str, np.ndarray], kind: int) -> pa.RecordBatch:
-    """One row per bucket with the bytes of its part of each column."""
+def _kinds(table) -> np.ndarray:
+    return np.repeat(table.column("kind").to_numpy(), [len(x) // 8 for x in table.column("doc").to_pylist()])
+
+
+def _deal(bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, int]], kind: int, cells: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per bucket with its part of each column as byte planes (the lowest bytes of all values, then the next ones: the upper planes of small numbers compress to nothing)."""
     order = np.argsort(bucket, kind="stable")
     new = np.flatnonzero(firsts(order, [bucket]))
     ends = np.append(new[1:], len(order))
-    sorted_columns = {k: v[order] for k, v in columns.items()}
     out = [pa.array(bucket[order[new]].astype(np.int64)), pa.array(np.full(len(new), kind, np.int32))]
-    out += [pa.array([v[a:b].tobytes() for a, b in zip(new, ends, strict=True)], pa.binary()) for v in sorted_columns.values()]
-    return pa.RecordBatch.from_arrays(out, names=["bucket", "kind", *columns])
-
-
-ANCHORS = "bucket long, kind int, hash binary, region binary, doc binary, crc binary, start binary, end binary, anchor binary"
+    for values, planes in columns.values():
+        wide = values.astype(np.int64, copy=False) if values.dtype != _U else values
+        raw = np.ascontiguousarray(wide[order]).view(np.uint8).reshape(-1, 8)[:, :planes]
+        out.append(pa.array([raw[a:b].T.tobytes() for a, b in zip(new, ends, strict=True)], pa.binary()))
+    names = ["bucket", "kind", *columns]
+    if cells is not None:
+        cells = cells[order]
+        out.append(pa.array([cells[a:b].tobytes() for a, b in zip(new, ends, strict=True)], pa.binary()))
+        names.append("bytes")
+    return pa.RecordBatch.from_arrays(out, names=names)
+
+
+ANCHORS = "bucket long, kind int, hash binary, region binary, doc binary, crc binary, start binary, size binary, anchor binary"
 RANGES = "doc long, crc long, start int, end int, anchor int"
 
 
@@ -182,6 +203,7 @@ def _anchors(length: int, gram: int, buckets: int):
             for a, b in spans_of_texts(offsets, CHUNK):
                 part, at = buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 first, last, anchor, grams, hashes = regions(part, at, length, gram)
+                hashes &= _U((1 << 8 * REGION_BYTES) - 1)
                 of = np.searchsorted(at, first, "right") - 1
                 doc, crc, base = docs[a:b][of], crcs[a:b][of], at[of]
                 first, end, anchor = first - base, last + length - base, anchor - base
@@ -193,8 +215,8 @@ def _anchors(length: int, gram: int, buckets: int):
                 for kind, rows in ((0, order[new]), (1, order[~new & ~again])):
                     if len(rows):
                         to = grams[rows] % _U(buckets) if kind == 0 else vec.mix(doc[rows].view(_U) + first[rows].astype(_U)) % _U(buckets)
-                        hashed = (grams[rows], hashes[rows]) if not kind else (np.zeros(len(rows), _U),) * 2
-                        yield _deal(to, {"hash": hashed[0], "region": hashed[1], "doc": doc[rows], "crc": crc[rows].astype(np.uint32), "start": first[rows].astype(np.uint32), "end": end[rows].astype(np.uint32), "anchor": anchor[rows].astype(np.uint32)}, kind)
+                        # anchors that are known to repeat need no hashes
+                        yield _deal(to, {"hash": (grams[rows], 0 if kind else 8), "region": (hashes[rows], 0 if kind else REGION_BYTES), "doc": (doc[rows], 8), "crc": (crc[rows], 4), "start": (first[rows], 4), "size": (end[rows] - first[rows], 2), "anchor": (anchor[rows] - first[rows], 2)}, kind)
 
     return run
 
@@ -206,9 +228,10 @@ def _ranges(doc, crc, start, end, anchor=None) -> pa.Table:
 
 def _match_regions(table: pa.Table) -> pa.Table:
     """Ranges to remove (anchor -1), and regions that need a closer look (anchor set)."""
-    kind = np.repeat(table.column("kind").to_numpy(), [len(x.as_py()) // 8 for x in table.column("doc")])
-    grams, hashes, doc = _column(table, "hash", _U), _column(table, "region", _U), _column(table, "doc", np.int64)
-    crc, start, end, anchor = (_column(table, c, np.uint32) for c in ("crc", "start", "end", "anchor"))
+    kind = _kinds(table)
+    grams, hashes, doc = _column(table, "hash"), _column(table, "region"), _column(table, "doc").view(np.int64)
+    crc, start, size, anchor = (_column(table, c).view(np.int64) for c in ("crc", "start", "size", "anchor"))
+    end, anchor = start + size, start + anchor
     known = np.flatnonzero(kind == 1)
     look = np.flatnonzero(kind == 0)
     order = look[np.lexsort((start[look], crc[look], doc[look], hashes[look], grams[look]))]
@@ -265,7 +288,8 @@ def _fragments(length: int, buckets: int):
                     reach = start[rows, None] + np.arange(length + OFFSETS - 1)
                     cells = np.where(np.arange(length + OFFSETS - 1) < n[rows, None] + length - 1, part[np.minimum(reach, len(part) - 1)], 0).astype(np.uint8) if not kind else np.zeros((len(rows), 0), np.uint8)
                     to = core[rows] % _U(buckets) if not kind else vec.mix(doc[rows].view(_U) + place[rows].astype(_U)) % _U(buckets)
-                    yield _deal(to, {"core": core[rows], "offset": offset[rows].astype(np.uint8), "n": n[rows].astype(np.uint8), "doc": doc[rows], "crc": crc[rows].astype(np.uint32), "start": place[rows].astype(np.uint32), "bytes": cells}, kind)
+                    columns = {"core": (core[rows], 0 if kind else 8), "offset": (offset[rows], 2), "n": (n[rows], 2), "doc": (doc[rows], 8), "crc": (crc[rows], 4), "start": (place[rows], 4)}
+                    yield _deal(to, columns, kind, cells)
 
     return run
 
@@ -274,12 +298,11 @@ def _match_windows(length: int):
     wide = length + OFFSETS - 1
 
     def run(table: pa.Table) -> pa.Table:
-        kind = np.repeat(table.column("kind").to_numpy(), [len(x.as_py()) // 8 for x in table.column("doc")])
-        core, doc, crc, start = _column(table, "core", _U), _column(table, "doc", np.int64), _column(table, "crc", np.uint32), _column(table, "start", np.uint32).astype(np.int64)
-        offset, n = _column(table, "offset", np.uint8).astype(np.int64), _column(table, "n", np.uint8).astype(np.int64)
+        kind, core = _kinds(table), _column(table, "core")
+        doc, crc, start, offset, n = (_column(table, c).view(np.int64) for c in ("doc", "crc", "start", "offset", "n"))
         known = np.flatnonzero(kind == 1)
         rows = np.flatnonzero(kind == 0)
-        cells = _column(table, "bytes", np.uint8)
+        cells = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
         slot = np.zeros(len(kind), np.int64)
         slot[rows] = np.arange(len(rows))
         # a core that only one fragment has can't repeat
@@ -337,7 +360,7 @@ def _cut_ranges(texts: bool):
                     kept_out.append(rest)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             made = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True))]
-            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if texts:
                 made += [pa.array(spans_out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept_out, pa.binary())]
                 names += ["spans", "kept"]
@@ -350,20 +373,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, and with_texts also spans (start and end of each removed run) and kept (the remaining bytes), for every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.crc32(text.cast("binary")).alias("crc"), text.alias("text"))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    # the checksum tells texts of one id apart; where no id repeats it is nothing but weight
+    repeated = not docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    texts = docs.select(doc.alias("doc"), (F.crc32(text.cast("binary")) if repeated else F.lit(0).cast("long")).alias("crc"), text.alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = max(64, int(n_bytes * 40 / ((length - gram) / 2) / BUCKET_BYTES))
 
-    dealt = texts.select("doc", "crc", "text").mapInArrow(_anchors(length, gram, buckets), ANCHORS)
+    dealt = texts.mapInArrow(_anchors(length, gram, buckets), ANCHORS)
     found = cut(dealt.groupBy("bucket").applyInArrow(_match_regions, RANGES))
 
     closer = found.where("anchor >= 0").groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("wanted"))
     look = texts.join(closer.hint("shuffle_hash"), ["doc", "crc"]).select("doc", "crc", "text", "wanted")
     windows = look.mapInArrow(_fragments(length, buckets), FRAGMENTS).groupBy("bucket").applyInArrow(_match_windows(length), RANGES)
     ranges = found.where("anchor < 0").unionByName(windows).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = texts.join(ranges.hint("shuffle_hash"), ["doc", "crc"], "left").select("id", "text", "ranges")
-    out = joined.mapInArrow(_cut_ranges(with_texts), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, end: long>>, kept binary" * with_texts)
-    return out.withColumnRenamed("id", id_col)
+    joined = texts.join(ranges.hint("shuffle_hash"), ["doc", "crc"], "left").select("doc", "text", "ranges")
+    out = joined.mapInArrow(_cut_ranges(with_texts), f"doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, end: long>>, kept binary" * with_texts)
+    own = F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind)
+    return out.select(own.alias(id_col), *out.columns[1:])
 
 
 def brute_force(texts: list[tuple[int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:
