@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,16 +59,13 @@ def place_cells(cells: list[tuple[int, int, int, int]], shards: int, slack: floa
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slack: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, slack: float = 0.0001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, size, text_crc32, shard, slot for every row. The driver holds the cells (at most RING * 64, in practice RING times a dozen) and broadcasts them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     keyed = keyed.withColumn("position", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null"))), F.lit(RING)).cast("int"))
     keyed = keyed.withColumn("kind", F.floor(F.log2("size")).cast("int"))
     counted = keyed.groupBy("position", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
-    by_size = defaultdict(int)
-    for c in counted:
-        by_size[c["kind"]] += 1
     placed = place_cells([(c["position"], c["kind"], c["n"], c["bytes"]) for c in counted], shards, slack)
     rows = [(p, k, s, first) for (p, k), (s, first) in placed.items()]
     where = docs.sparkSession.createDataFrame(rows, "position int, kind int, shard int, first long")
