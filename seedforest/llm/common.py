@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +17,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_written: list = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder and read back, so that later jobs and
-    lost executors start from files. A folder is chosen here only where the session has none."""
-    context = df.sparkSession.sparkContext
+    """df written once, as a table in the shared checkpoint folder, and read back, so that later jobs and lost executors start from
+    files, and the planner from the sizes of these files (checkpoint() keeps its estimates, which grow with every join of a loop). A folder is
+    chosen here only where the session has none. The tables go when Python exits."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="seedforest-"))
-    return df.checkpoint(eager=True)
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _written:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended before
+            return
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

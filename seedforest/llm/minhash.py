@@ -5,10 +5,11 @@ bin is its value, and an empty bin copies a bin that a hash of (bin, attempt) pi
 and only its smallest id goes on. ROWS bins make a band's key; classes that share a key are candidates.
 
 At the threshold 0.75 a pair shares a given key with probability 0.75^3 = 0.42, so all 42 keys miss it with probability 1e-10.
-Within a bucket of up to SMALL classes every pair is confirmed. In a larger one, rounds of stars run: the class whose hash for this round is smallest is the
-hub, and members of other components than the hub's are confirmed against it on the full sets. Rounds go on until
-each of the larger buckets lies in one component or QUIET rounds in a row bring no new link in any of them. So candidates stay linear in the members of buckets, no partner is capped,
-and a link between documents of one component is never needed again.
+A bucket's candidate edges form a star: the class whose hash is smallest is the hub, so edges are linear in the members of buckets. They are confirmed on the full
+sets. Classes that share buckets, directly or through others, make up a cluster; no link leaves it. Where the confirmed links
+leave a cluster in several components, the members outside its largest one are held against all members in blocks of BLOCK by
+BLOCK, on the full sets, and one link is returned for each member and component. So no partner is capped, no link between different texts is lost, and a large group
+that its hubs already hold together costs no more.
 
 Components come from contracting links to the neighbour with the smallest hash of the round (the numbers of nodes fall geometrically); nothing is collected.
 
@@ -32,8 +33,8 @@ from .common import cut, spans_of_texts, text_buffer
 BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
 SHINGLE = 5
-SMALL = 8
-QUIET = 3
+BLOCK = 512
+PACK = 2_000_000
 PERCENT = 75
 CHUNK = 1 << 20
 
@@ -120,22 +121,25 @@ def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns node and component (the smallest node reachable) for every node of a link."""
-    labels, edges, turn = None, cut(links.select("a", "b").where("a <> b").distinct()), 0
+    steps, edges, turn = [], links.select("a", "b").where("a <> b").distinct(), 0
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
-        step = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("from"), F.least("m", rank("a"))["to"].alias("to")))
-        if labels is None:
-            labels = step.select(F.col("from").alias("node"), F.col("to").alias("label"))
-        else:
-            labels = labels.join(step, labels["label"] == step["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = cut(labels)
+        near = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("from"), F.least("m", rank("a"))["to"].alias("to")))
+        # two hops at once
+        on = near.select(F.col("from").alias("to"), F.col("to").alias("next"))
+        steps.append(cut(near.join(on, "to").select("from", F.col("next").alias("to"))))
+        step = steps[-1]
         far = edges.join(step, edges["a"] == step["from"]).select(F.col("to").alias("x"), "b")
         far = far.join(step, far["b"] == step["from"]).select("x", F.col("to").alias("y")).where("x <> y")
         edges = cut(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         turn += 1
         if edges.isEmpty():
             break
+    labels = steps[0].select(F.col("from").alias("node"), F.col("to").alias("label"))
+    for step in steps[1:]:
+        labels = labels.join(step, labels["label"] == step["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
+    labels = cut(labels)
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return cut(labels.join(least, "label").select("node", "component"))
 
@@ -150,43 +154,76 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, quiet: int = QUIET) -> DataFrame:
+def _match_blocks(percent: int):
+    """For each block pair of a pack: one link from each asking member to each other component that it reaches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        group, rep, label, asks = (table.column(c).to_numpy() for c in ("group", "rep", "label", "asks"))
+        lists = table.column("hashes").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else order
+        links = []
+        for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            rows = order[s:e]
+            codes = np.unique(np.concatenate([flat[at[r] : at[r + 1]] for r in rows]), return_inverse=True)[1]
+            ends = np.cumsum(sizes[rows])
+            marks = np.zeros(codes.max() + 1, np.int64)
+            for k in np.flatnonzero(asks[rows]):
+                own = codes[ends[k] - sizes[rows[k]] : ends[k]]
+                marks[own] = 1
+                common = np.add.reduceat(marks[codes], ends - sizes[rows])
+                marks[own] = 0
+                linked = rows[(common * 100 >= (sizes[rows] + sizes[rows[k]] - common) * percent) & (label[rows] != label[rows[k]])]
+                for r in linked[np.unique(label[linked], return_index=True)[1]]:
+                    links.append((rep[rows[k]], rep[r]))
+        a, b = (np.array([x[i] for x in links], rep.dtype) for i in (0, 1))
+        return pa.table({"a": pa.array(a, table.schema.field("rep").type), "b": pa.array(b, table.schema.field("rep").type)})
+
+    return run
+
+
+def rest_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """members: rep, n, cluster, label. Links between different labels of a cluster that are not known yet, as many as join all that belong together."""
+    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"))
+    split = sizes.groupBy("cluster").agg(F.sum("size").alias("size"), F.max(F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"))
+    split = cut(split.where("labels > 1").select("cluster", F.col("largest.label").alias("main"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("largest.size")) / block).cast("int").alias("ask_blocks")))
+    held = members.join(split, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    held = cut(held.withColumn("ask_block", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("rep", F.lit(1)), "ask_blocks").cast("int"))))
+    # a member goes to the blocks of all asking blocks, and one that asks to all other blocks as well
+    there = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select("rep", "n", "cluster", "label", F.col("block").alias("b"), "q", F.coalesce(F.col("ask_block") == F.col("q"), F.lit(False)).alias("asks"))
+    asking = held.where("ask_block is not null and blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("b") != F.col("block"))
+    placed = cut(there.unionByName(asking.select("rep", "n", "cluster", "label", "b", F.col("ask_block").alias("q"), F.lit(True).alias("asks"))))
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    packs = max(64, int(total // PACK))
+    placed = placed.withColumn("group", F.xxhash64("cluster", "b", "q")).withColumn("pack", F.pmod("group", F.lit(packs)))
+    rows = placed.join(sets, placed["rep"] == sets["id"]).select("pack", "group", "rep", "label", "asks", "hashes")
+    kind = members.schema["rep"].dataType.simpleString()
+    return rows.groupBy("pack").applyInArrow(_match_blocks(percent), f"a {kind}, b {kind}")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """id_col, n_shingles, component_id, kept for every row."""
     every = cut(sketch(docs, id_col, text_col, shingle, bands, rows))
     digest = ["digest_a", "digest_b", "n_shingles"]
     classes = cut(every.where("n_shingles > 0 and id is not null").groupBy(*digest, "keys").agg(F.min("id").alias("rep")))
-    keyed = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = cut(keyed.join(shared, "key"))
-    ids = members.select(F.col("rep").alias("id")).distinct()
+    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(0)).alias("h"), "rep")).alias("hub"), F.count(F.lit(1)).alias("members"))
+    hubs = hubs.where("members > 1").select("key", F.col("hub.rep").alias("a"))
+    stars = cut(keyed.join(hubs, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
+
+    cluster = components(stars)
+    sizes = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
+    ids = cluster.select(F.col("node").alias("id"))
     sets = cut(full_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi"), shingle))
-
-    # sizes too far apart can't reach the threshold
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    few = members.where(F.col("members") <= small)
-    one, two = few.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n")), few.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("m"))
-    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & alike(F.col("n"), F.col("m"))).select("a", "b").distinct()
-    links = cut(confirm(pairs, sets, percent))
+    links = cut(confirm(stars, sets, percent))
+    known = components(links).withColumnRenamed("component", "label")
+    members = cluster.join(known, "node", "left").join(sizes, "node").select(F.col("node").alias("rep"), "n", F.col("component").alias("cluster"), F.coalesce("label", "node").alias("label"))
+    links = links.unionByName(cut(rest_links(members, sets, percent, block)))
     label = components(links)
 
-    large = members.where(F.col("members") > small)
-    turn = calm = 0
-    while calm < quiet:
-        named = large.join(label, large["rep"] == label["node"], "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-        # buckets that lie in one component need no more candidates
-        hubs = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n_shingles", "component")).alias("hub"), F.min("component").alias("least"), F.max("component").alias("most"))
-        hubs = hubs.where("least <> most").select("key", F.col("hub.rep").alias("a"), F.col("hub.n_shingles").alias("n"), F.col("hub.component").alias("c"))
-        stars = named.join(hubs, "key").where((F.col("component") != F.col("c")) & alike(F.col("n"), F.col("n_shingles")))
-        pairs = cut(stars.select("a", F.col("rep").alias("b")).distinct())
-        if pairs.isEmpty() and hubs.isEmpty():
-            break
-        new = cut(confirm(pairs, sets, percent))
-        calm = calm + 1 if new.isEmpty() else 0
-        if not calm:
-            links = links.unionByName(new)
-            label = components(links)
-        turn += 1
-
     named = classes.join(label, classes["rep"] == label["node"], "left").select(*digest, F.coalesce("component", "rep").alias("component"))
     out = every.drop("keys").join(named, digest, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
