@@ -47,7 +47,7 @@ def invert_sql(schedule, y: str) -> str:
     for t0, width, w0, w1, before in reversed(segments(schedule)):
         slope = (w1 - w0) / width
         cases.append(f"WHEN {y} >= CAST({before!r} AS DOUBLE) THEN CAST({t0!r} AS DOUBLE) + CAST(2.0 AS DOUBLE) * ({y} - CAST({before!r} AS DOUBLE)) / (CAST({w0!r} AS DOUBLE) + sqrt(CAST({w0 * w0!r} AS DOUBLE) + CAST({2 * slope!r} AS DOUBLE) * ({y} - CAST({before!r} AS DOUBLE))))")
-    return f"(CASE {' '.join(cases)} ELSE CAST(0.0 AS DOUBLE) END)"
+    return f"(CASE {' '.join(cases)} ELSE CAST(NULL AS DOUBLE) END)"
 
 
 def position_sql(schedules, rank: str, y: str) -> str:
