@@ -34,7 +34,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = cut(docs.select(*sketch, (full if digest_all else F.lit(None).cast("string")).alias("full_hash")))
     salt = F.pmod(F.xxhash64("id", "full_hash"), F.lit(SALTS))
 
-    same_length = every.join(_several(every, ["n_bytes"]), "n_bytes", "left_semi")
+    same_length = every.join(cut(_several(every, ["n_bytes"])), "n_bytes", "left_semi")
     # dealt out anew with a salt, so that a length that very many rows share is counted in many tasks first
     same_length = same_length.withColumn("salt", salt).repartition("n_bytes", "prefix_hash", "salt")
     keys = cut(_several(same_length, ["n_bytes", "prefix_hash"]))
@@ -46,6 +46,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = cut(docs.select(*sketch, full.alias("full_hash")).join(keys, ["n_bytes", "prefix_hash"], "left_semi"))
     left = left.withColumn("salt", salt).repartition("n_bytes", "full_hash", "salt")
     groups = left.groupBy("n_bytes", "full_hash").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("prefix_hash").alias("prefix_hash")).where("group_size > 1")
+    # written, so that joins with it are planned from its size and, where it is large, split at groups that very many rows share
+    groups = cut(groups)
     if digest_all:
         out = every.join(groups.drop("prefix_hash"), ["n_bytes", "full_hash"], "left")
     else:
