@@ -361,7 +361,7 @@ _laplacian(2, "laplacian_rw", "-weight / d.degree")
 
 
 def _assigned(spark, sf):
-    points = c.embeddings(spark, sf).select(F.col("vec_id").alias("point_id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    points = c.embeddings(spark, sf).select(F.col("vec_id").alias("point_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     centres = points.where("point_id < 3").select(F.col("point_id").cast("int").alias("k"), F.col("v").alias("c"))
     return cluster.nearest_centroid(points, centres), centres
 
@@ -391,7 +391,7 @@ _SIL = "p AS (SELECT vec_id AS id, CAST(vec_id % 10 AS INT) AS grp, label % 3 AS
 
 @query(f"WITH {_SIL} SELECT grp, {r6('sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) / count(*)')} AS silhouette FROM e GROUP BY grp")
 def silhouette(spark, sf):
-    points = c.embeddings(spark, sf).select((F.col("vec_id") % 10).cast("int").alias("grp"), F.col("vec_id").alias("point_id"), (F.col("label") % 3).alias("k"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
+    points = c.embeddings(spark, sf).select((F.col("vec_id") % 10).cast("int").alias("grp"), F.col("vec_id").alias("point_id"), (F.col("label") % 3).alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return rounded(cluster.silhouette(points), "silhouette")
 
 
