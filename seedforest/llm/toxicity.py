@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLE = 20_000
-CANDIDATES = 20_000
 TERMS = 2_000
 STEMS = range(3, 9)
 WINDOW = 6
@@ -189,14 +188,14 @@ def forms(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def counted(sample: DataFrame, least: int = 1, among: frozenset | None = None) -> DataFrame:
+def counted(sample: DataFrame, least: int = 1) -> DataFrame:
     """form, n: in how many texts each form is, summed up within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(forms(text) if among is None else forms(text) & among)
+                found.update(forms(text))
             if len(found) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["form", "n"])
                 found.clear()
@@ -205,6 +204,16 @@ def counted(sample: DataFrame, least: int = 1, among: frozenset | None = None) -
     return sample.select("text").mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
+def candidates(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, forms_seen: int) -> DataFrame:
+    """form, a, b: in how many toxic and clean texts each form is that passes the tests of choose_terms (which makes them again: logarithms differ in the last bit)."""
+    both = toxic.withColumnRenamed("n", "a").join(clean.withColumnRenamed("n", "b"), "form", "left").select("form", "a", F.coalesce("b", F.lit(0)).alias("b"))
+    base, a, b = n_toxic / (n_toxic + n_clean), F.col("a"), F.col("b")
+    share = a / (a + b)
+    lift = (a / n_toxic) / ((b + 0.5) / n_clean)
+    evidence = a * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return both.where((share > base - 1e-9) & (lift >= 8 - 1e-6) & (evidence >= math.log(max(2, forms_seen)) + 2 - 1e-6))
+
+
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, forms_seen: int, most: int = TERMS) -> list[tuple[str, bool, float]]:
     """Forms that are more common in toxic texts than chance explains among so many forms; stems only where they gather several words."""
     strong = {}
@@ -252,7 +261,7 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list, tuple]:
-    """Terms and coefficients. The driver gets at most `sample` rows of features and CANDIDATES counts."""
+    """Terms and coefficients. The driver gets at most `sample` rows of features, and the counts of the forms that pass."""
     seeds = [(w, False, 3.0) for w in SEED]
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col))
     chosen = chosen.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("y"))
@@ -265,9 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, clean = texts.where("y = 1"), texts.where("y = 0")
     found = cut(counted(toxic, least=2))
     seen = found.count()
-    counts = {r["form"]: r["n"] for r in found.orderBy(F.desc("n"), "form").limit(CANDIDATES).collect()}
-    against = {r["form"]: r["n"] for r in counted(clean, among=frozenset(counts)).collect()}
-    terms = choose_terms(counts, against, n_toxic, n_clean, seen)
+    passed = candidates(found, counted(clean), n_toxic, n_clean, seen).collect()
+    terms = choose_terms({r["form"]: r["a"] for r in passed}, {r["form"]: r["b"] for r in passed if r["b"]}, n_toxic, n_clean, seen)
     known = {t for t, _, _ in terms}
     terms += [s for s in seeds if s[0] not in known]
     schema = "y int, " + ", ".join(f"x{k} double" for k in range(FEATURES))
