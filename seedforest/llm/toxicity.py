@@ -3,8 +3,9 @@
 The lexicon has whole words and stems (all words that start so). It holds a small seed list of English insults and terms learnt from labelled
 texts: words and prefixes that are far more common in texts labelled toxic than chance explains. The trie's nodes times the
 number of edits spent are the states of a nondeterministic automaton; it is made deterministic as words are read and its transitions are kept, so a word
-costs one look-up a character and most words die after a few. Words may miss their term by one edit (terms of five
-letters or more); look-alike digits and signs count as their letters.
+costs one look-up a character and most words die after a few. Words may miss whole-word terms of five letters or more by one edit (a letter more, less or
+changed, or two neighbours swapped), those of ten or more by two; shorter terms and stems must be met exactly. Look-alike digits and signs count as their letters,
+also where a word begins or ends with them.
 
 The words within WINDOW of a hit decide whether it is quoted (quotation marks around it, reporting words near) or aimed at someone. A logistic
 regression over the hits' weights, density and context gives the score. Terms and regression are fitted on at most `sample` labelled rows (the first in order of
@@ -48,11 +49,11 @@ PRIOR = (-5.0, 0.9, 0.4, 0.8, -0.8, 0.3, 0.0)
 class Automaton:
     """terms: (text, is_stem, weight). `look` gives (term, edits) of the best term for a word, or None."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], fuzzy: int = 5, most_states: int = 100_000):
-        self.terms, self.fuzzy, self.most = terms, fuzzy, most_states
+    def __init__(self, terms: list[tuple[str, bool, float]], fuzzy: int = 5, most_states: int = 100_000, twice: int = 10):
+        self.terms, self.fuzzy, self.twice, self.most = terms, fuzzy, twice, most_states
         self.children: list[dict[str, int]] = [{}]
         self.end: list[int | None] = [None]
-        self.reach = [False]  # whether a term below allows an edit
+        self.reach = [0]  # how many edits a term below allows
         for k, (text, stem, _) in enumerate(terms):
             node, path = 0, [0]
             for c in text:
@@ -60,37 +61,43 @@ class Automaton:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.end.append(None)
-                    self.reach.append(False)
+                    self.reach.append(0)
                 node = self.children[node][c]
                 path.append(node)
             if self.end[node] is None or stem:
                 self.end[node] = k
-            if not stem and len(text) >= fuzzy:
-                for n in path:
-                    self.reach[n] = True
+            for n in path:
+                self.reach[n] = max(self.reach[n], self._edits(k))
         self._reset()
 
+    def _edits(self, k: int) -> int:
+        text, stem, _ = self.terms[k]
+        return 0 if stem else (len(text) >= self.fuzzy) + (len(text) >= self.twice)
+
     def _reset(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.stem_hit: list[int | None] = []
         self.word_hit: list[tuple[int, int] | None] = []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, "")})
 
     def _state(self, states: set) -> int:
-        states = set(states)
-        for node, spent in list(states):  # a letter left out
-            if not spent and self.reach[node]:
-                states.update((n, 1) for n in self.children[node].values() if self.reach[n])
+        states, todo = set(states), list(states)
+        while todo:  # a letter left out
+            node, spent, owed = todo.pop()
+            if not owed and self.reach[node] > spent:
+                more = {(n, spent + 1, "") for n in self.children[node].values() if self.reach[n] > spent} - states
+                states |= more
+                todo += more
         key = frozenset(states)
         if key not in self.numbers:
             self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            ends = [(spent, self.end[node]) for node, spent in key if self.end[node] is not None]
+            ends = [(spent, self.end[node]) for node, spent, owed in key if not owed and self.end[node] is not None]
             stems = [k for spent, k in ends if not spent and self.terms[k][1]]
-            words = [(spent, k) for spent, k in ends if not self.terms[k][1] and (not spent or len(self.terms[k][0]) >= self.fuzzy)]
+            words = [(spent, k) for spent, k in ends if not self.terms[k][1] and spent <= self._edits(k)]
             self.stem_hit.append(max(stems, key=lambda k: self.terms[k][2], default=None))
             best = min(words, key=lambda x: (x[0], -self.terms[x[1]][2], x[1]), default=None)
             self.word_hit.append(best and (best[1], best[0]))
@@ -99,15 +106,22 @@ class Automaton:
     def _step(self, state: int, c: str) -> int:
         out = set()
         letters = {c, LOOKALIKE.get(c, c)}
-        for node, spent in self.sets[state]:
+        for node, spent, owed in self.sets[state]:
+            if owed:  # the second of two swapped letters
+                if owed in letters:
+                    out.add((node, spent, ""))
+                continue
             for letter in letters:
                 if letter in self.children[node]:
                     n = self.children[node][letter]
-                    if not spent or self.reach[n]:
-                        out.add((n, spent))
-            if not spent and self.reach[node]:
-                out.add((node, 1))  # a letter too many
-                out.update((n, 1) for n in self.children[node].values() if self.reach[n])  # another letter
+                    if self.reach[n] >= spent:
+                        out.add((n, spent, ""))
+            if self.reach[node] > spent:
+                out.add((node, spent + 1, ""))  # a letter too many
+                for first, n in self.children[node].items():
+                    if self.reach[n] > spent:
+                        out.add((n, spent + 1, ""))  # another letter
+                        out.update((self.children[n][x], spent + 1, first) for x in letters if x in self.children[n] and self.reach[self.children[n][x]] > spent)
         to = self._state(out) if out else -1
         self.next[state][c] = to
         return to
@@ -146,7 +160,9 @@ class Scorer:
             if w in known:
                 hit = known[w]
             else:
-                hit = known[w] = self.automaton.look(w.strip("*!@$") or w)
+                # signs at the ends are letters or not: the reading with the fewest edits counts
+                found = [self.automaton.look(x) for x in sorted({w, w.strip("*!@$"), w.lstrip("*!@$"), w.rstrip("*!@$")}) if x]
+                hit = known[w] = min((x for x in found if x), key=lambda x: (x[1], -self.terms[x[0]][2], x[0]), default=None)
             if hit is not None:
                 out[w] = hit
         return out
