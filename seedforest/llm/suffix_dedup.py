@@ -5,7 +5,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier (in a
 Every window of LENGTH bytes names an anchor in itself: its rightmost smallest GRAM-gram by hash. Equal windows have the same anchor at the same place,
 so only windows of one anchor hash need comparing, and there is about one anchor in 40 bytes. The windows of one anchor start in a row and make up its region.
 
-1. Regions are keyed by anchor hash and region hash (112 bits together). All but the first of equal regions go whole. Chunks send only their own first region of a key,
+1. Regions are keyed by anchor hash and region hash; among regions of one anchor only the 64 bits of the latter tell them apart, and their bytes aren't compared. All but the first of equal regions go whole. Chunks send only their own first region of a key,
    so a passage that very many documents share reaches a bucket once a chunk at most.
 2. Where an anchor hash has different regions (the edges of shared passages), the first of each is cut into blocks of OFFSETS window starts. Blocks meet by the hash of
    the bytes that all windows of a block have in common, so a common line among varied text falls apart into many groups.
@@ -35,7 +35,7 @@ from .common import cut, spans_of_texts, text_buffer
 LENGTH = 100
 GRAM = 20
 OFFSETS = 27
-REGION_BYTES = 6
+REGION_BYTES = 8
 CHUNK = 1 << 21
 BUCKET_BYTES = 1 << 22
 NO_ID = -(1 << 63)
