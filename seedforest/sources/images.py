@@ -100,21 +100,29 @@ def png(values: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 8, 2 if values.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
-def read_images(spark: SparkSession, path: str, pattern: str = "*", drop_invalid: bool = True) -> DataFrame:
-    """Image files below a path as rows of RASTER. Undecodable files are dropped, or an error."""
+def raster_frame(files: pd.DataFrame) -> pd.DataFrame:
+    """path and content to rows of RASTER, with nulls besides image_id where the content can't be decoded."""
+    rows = []
+    for name, raw in zip(files["path"], files["content"], strict=True):
+        values = parse_image(raw)
+        rows.append((name, *[None] * 5) if values is None else (name, *values.shape, norm_of(int(values.max(initial=0))), values.reshape(-1)))
+    out = pd.DataFrame(rows, columns=["image_id", "n_rows", "n_cols", "n_channels", "norm", "val"])
+    return out.astype({c: "Int32" for c in ("n_rows", "n_cols", "n_channels", "norm")})
+
+
+def read_images(spark: SparkSession, path: str, pattern: str = "*", drop_invalid: bool = True, keep_invalid: bool = False) -> DataFrame:
+    """Image files below a path as rows of RASTER. Undecodable files are dropped, an error, or (keep_invalid) rows with nulls besides image_id."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for name, raw in zip(frame["path"], frame["content"], strict=True):
-                values = parse_image(raw)
-                if values is None:
-                    if not drop_invalid:
-                        raise ValueError(f"{name} can't be decoded")
-                    continue
-                rows.append((name, *values.shape, norm_of(int(values.max(initial=0))), values.reshape(-1)))
-            yield pd.DataFrame(rows, columns=["image_id", "n_rows", "n_cols", "n_channels", "norm", "val"])
+            made = raster_frame(frame)
+            if not keep_invalid:
+                bad = made["val"].isna()
+                if bad.any() and not drop_invalid:
+                    raise ValueError(f"{made['image_id'][bad].iloc[0]} can't be decoded")
+                made = made[~bad]
+            yield made
 
     return files.mapInPandas(run, RASTER)
 

@@ -6,28 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.segment import segment
-from ..sources.images import RASTER, parse_image, norm_of, pixels
+from ..sources.images import RASTER, pixels, raster_frame
 
 
 def arriving_images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """A stream of RASTER rows, one for each new file."""
-    import pandas as pd
-
+    """A stream of RASTER rows, one for each new file; with nulls besides image_id where it can't be decoded."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
 
     def run(frames):
         for frame in frames:
-            rows = [(n, *v.shape, norm_of(int(v.max(initial=0))), v.reshape(-1)) for n, v in ((n, parse_image(c)) for n, c in zip(frame["path"], frame["content"], strict=True)) if v is not None]
-            yield pd.DataFrame(rows, columns=["image_id", "n_rows", "n_cols", "n_channels", "norm", "val"])
+            yield raster_frame(frame)
 
     return files.select("path", "content").mapInPandas(run, RASTER)
 
 
 def segment_stream(spark: SparkSession, folder: str, scribbles: DataFrame, out: str, checkpoint: str, **parameters):
-    """Starts a query that appends label tables to `out`. scribbles: a table whose image_id is the file's name. Files of a batch are written by batch number, so a batch that runs again overwrites its own."""
+    """Starts a query that appends label tables to `out`. scribbles: a table whose image_id is the file's name. Files of a batch are written by batch number, so a batch that runs again overwrites its own.
+    The names of files that can't be decoded go to `<out>_undecodable` in the same way."""
 
     def batch(raster: DataFrame, number: int) -> None:
         named = raster.withColumn("image_id", F.regexp_extract("image_id", "([^/]+)$", 1))
-        segment(pixels(named), scribbles, **parameters).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        named.where("val is null").select("image_id").write.mode("overwrite").parquet(f"{out}_undecodable/batch={number}")
+        segment(pixels(named.where("val is not null")), scribbles, **parameters).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arriving_images(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
