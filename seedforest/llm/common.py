@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,33 +19,123 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_written: list = []
+_written: dict = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share. Only a session whose master is in this very process may do without one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = f"{context.getConf().get('spark.local.dir', '/tmp')}/seedforest-{uuid.uuid4().hex}"
+        context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written once, as a table in the shared checkpoint folder, and read back, so that later jobs and lost executors start from
-    files, and the planner from the sizes of these files (checkpoint() keeps its estimates, which grow with every join of a loop). A folder is
-    chosen here only where the session has none. The tables go when Python exits."""
+    files, and the planner from the sizes of these files (checkpoint() keeps its estimates, which grow with every join of a loop).
+    The tables go with drop(), the rest when Python exits."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="seedforest-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out.cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by cut() that nothing reads any more."""
+    for table in tables:
+        spark = _written.pop(table.cut_path, None)
+        if spark is not None:
+            _delete(spark, table.cut_path)
 
 
 @atexit.register
 def _clear() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended before
             return
 
 
+#: Rows of 64 bits that a filter of keys has at most: some 40 MB where it is broadcast, whatever the number of keys.
+FILTER_ROWS = 1 << 20
+
+
+def may_meet(docs: DataFrame, on: list[Column], keys: DataFrame, name: str) -> DataFrame:
+    """docs with a boolean column of that name: true where `on` is among the rows of keys (a written table; its first columns), and for few other rows. A table of
+    bits (one for each hash of a key, FILTER_ROWS * 64 at most) is broadcast, so that wide rows need not be dealt out; where keys outgrow the bits, more of the other rows are true."""
+    word_name, mask = unused([*docs.columns, *keys.columns, name], "_word", "_mask")
+    bits = 64 << min(FILTER_ROWS.bit_length() - 1, max(4, (keys.count() // 4).bit_length()))
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(bits))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    word = lambda at: F.shiftright(at, 6)
+    at = place([F.col(k) for k in keys.columns[: len(on)]])
+    masks = keys.select(word(at).alias(word_name), bit(at).alias(mask)).groupBy(word_name).agg(F.bit_or(mask).alias(mask))
+    at = place(on)
+    met = docs.join(F.broadcast(masks), word(at) == masks[word_name], "left")
+    return met.select(*[docs[c] for c in docs.columns], F.coalesce(masks[mask].bitwiseAND(bit(at)) != 0, F.lit(False)).alias(name))
+
+
+def with_keys(docs: DataFrame, on: list[Column], keys: DataFrame, how: str, exact: list[Column] | None = None) -> DataFrame:
+    """The rows of docs whose `on` is (how="left_semi") or isn't (how="left_anti") among the rows of keys, a written table; null equals null. exact: further
+    expressions, for further columns of keys, that only rows whose `on` may be there are asked for. Only rows that may_meet the keys are dealt out to the
+    exact join; the others are decided in the scan."""
+    (may,) = unused([*docs.columns, *keys.columns], "_may")
+    met = may_meet(docs, on, keys, may)
+    same = None
+    for mine, theirs in zip([*on, *(exact or [])], keys.columns, strict=True):
+        one = mine.eqNullSafe(keys[theirs])
+        same = one if same is None else same & one
+    asked = met.where(F.col(may)).drop(may).join(keys.hint("shuffle_hash"), same, how)
+    return asked if how == "left_semi" else met.where(~F.col(may)).drop(may).unionByName(asked)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, changed where a column has them already (Spark tells names apart without regard to case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: the worker lives on, and its next tasks have other shapes."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow, after which the worker gives its memory back."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all values in one array, and len + 1 offsets into it; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,20 +1,27 @@
 """MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star-shaped candidate edges.
 
 A document's set is its distinct 5-word shingles. One hash of each shingle falls into one of BANDS * ROWS bins, the smallest of a
-bin is its value, and an empty bin copies a bin that a hash of (bin, attempt) picks among the filled ones. Documents with equal sets form one class
+bin is its value, and an empty bin copies a bin that a hash of (bin, attempt) picks among the filled ones. Documents of one text (by half of its SHA-256) form one class
 and only its smallest id goes on. ROWS bins make a band's key; classes that share a key are candidates.
 
 At the threshold 0.75 a pair shares a given key with probability 0.75^3 = 0.42, so all 42 keys miss it with probability 1e-10.
-A bucket's candidate edges form a star: the class whose hash is smallest is the hub, so edges are linear in the members of buckets. They are confirmed on the full
-sets. Classes that share buckets, directly or through others, make up a cluster; no link leaves it. Where the confirmed links
-leave a cluster in several components, the members outside its largest one are held against all members in blocks of BLOCK by
-BLOCK, on the full sets, and one link is returned for each member and component. So no partner is capped, no link between different texts is lost, and a large group
-that its hubs already hold together costs no more.
+A bucket's candidate edges form a star: the class whose hash is smallest is the hub, so edges are linear in the members of buckets. Classes that share
+buckets, directly or through others, make up a cluster; no link leaves it.
 
-Components come from contracting links to the neighbour with the smallest hash of the round (the numbers of nodes fall geometrically); nothing is collected.
+Links are confirmed on words: hub and members of a star are brought together as texts, a large star in several blocks of bounded size with a copy of the hub
+each. Hashes of words and shingles are computed anew there and held against the bytes that they stand for, so two documents are linked only if their sets have 0.75 of their union in common.
+
+Where the confirmed links leave a cluster in several components, more of its members may be linked with one another. Two sets of that similarity share one of
+their first n - ceil(0.75 n) + 1 shingles in any common order; the order here is the rarest first, by a count sketch of fixed size over such clusters. Only members of different
+components that share such a shingle can be linked, so what many documents have in common (a template) brings nobody together. They are grouped again by these
+shingles and held against each other, those outside a group's largest component against all, in blocks of bounded size. So no partner is capped, no link
+between different texts is lost, and a large group that its hubs already hold together costs no more. The work within such a group of rare shingles is still quadratic.
+
+Components come from contracting links to the neighbour with the smallest hash of the round (the numbers of nodes fall geometrically); nothing is collected but the sketch.
 
 Texts without words (null, empty, blank) have an empty set, are linked with nothing and kept. Rows with a null id are returned, linked with nothing,
-with a null component, and kept. Rows that repeat an id share its component. Other columns aren't read. An empty table gives an empty table.
+with a null component, and kept. Rows that repeat an id are one node: they share its component, through whichever of their texts it comes. A very long text is
+read whole, in one piece (its task needs some 60 times its bytes). Other columns aren't read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,17 +31,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cut, spans_of_texts, text_buffer
+from .common import cut, drop, map_arrow, release, spans_of_texts, text_buffer, unused, with_keys
 
 BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
 SHINGLE = 5
-BLOCK = 512
-PACK = 2_000_000
+#: Most shingles and most members that a block should have (one member at least), and the shingles that a task gets together.
+BLOCK, BLOCK_MEMBERS = 150_000, 512
+PACK = 400_000
+SKETCH_BITS = 20
 PERCENT = 75
 CHUNK = 1 << 20
 
@@ -89,39 +99,59 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, two 64-bit digests of the set, and its band keys."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """id, n_shingles, digest (of the text) and the band keys of the set."""
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32)).alias("digest"))
     kind = narrow.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, sets in sets_of(batch.column(1), shingle):
                 n = np.array([len(s) for s in sets], np.int64)
-                digests = [np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: s.sum(dtype=np.uint64), lambda s: vec.mix(s ^ np.uint64(vec.BASE)).sum(dtype=np.uint64))]
                 keys = band_keys(signatures(sets, bands * rows), bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array(n), *map(pa.array, digests), lists], names=["id", "n_shingles", "digest_a", "digest_b", "keys"])
-
-    return narrow.mapInArrow(run, f"id {kind}, n_shingles long, digest_a long, digest_b long, keys array<long>")
-
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array(n), batch.column(2).slice(a, len(sets)), lists], names=["id", "n_shingles", "digest", "keys"])
 
-def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs: id, text. Returns id and the sorted distinct shingle hashes."""
-    kind = docs.schema["id"].dataType.simpleString()
+    return map_arrow(narrow, run, f"id {kind}, n_shingles long, digest binary, keys array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, sets in sets_of(batch.column(1), shingle):
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "hashes"])
 
-    return docs.mapInArrow(run, f"id {kind}, hashes array<long>")
+def exact_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted codes of its distinct shingles. Within the column equal codes mean equal words: hashes are held against the bytes, and
+    numbered anew from the bytes in the case that they don't tell all apart."""
+    buffer, offsets = text_buffer(column)
+    buffer = vec.lower_table()[buffer]
+    starts, ends = vec.word_spans(buffer, offsets, vec.space_table())
+    words, at = vec.word_hashes(buffer, offsets, vec.space_table())
+    sizes = ends - starts
+    order = np.argsort(words, kind="stable")
+    pairs = np.flatnonzero(words[order[1:]] == words[order[:-1]])
+    x, y = order[pairs], order[pairs + 1]
+    same = bool((sizes[x] == sizes[y]).all())
+    for k in range(0, len(x) if same else 0, 1 << 16):
+        p, q = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+        step = np.arange(sizes[p].sum()) - np.repeat(np.cumsum(sizes[p]) - sizes[p], sizes[p])
+        same &= bool((buffer[np.repeat(starts[p], sizes[p]) + step] == buffer[np.repeat(starts[q], sizes[p]) + step]).all())
+    if not same:
+        known: dict[bytes, int] = {}
+        words = np.array([known.setdefault(buffer[s:e].tobytes(), len(known)) for s, e in zip(starts, ends, strict=True)], np.uint64)
+    hashes, to = vec.shingle_hashes(words, at, shingle)
+    # the words of each shingle; what is missing in a short text is a word of its own number
+    first = np.repeat(at[:-1] - to[:-1], np.diff(to)) + np.arange(len(hashes))
+    left = np.minimum(np.repeat(np.diff(at), np.diff(to)), shingle)
+    padded = np.append(words, np.zeros(shingle, np.uint64))
+    order = np.argsort(hashes, kind="stable")
+    pairs = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    x, y = order[pairs], order[pairs + 1]
+    same = bool((left[x] == left[y]).all()) and all(bool(((padded[first[x] + j] == padded[first[y] + j]) | (left[x] <= j)).all()) for j in range(shingle))
+    if not same:
+        tuples: dict[tuple, int] = {}
+        hashes = np.array([tuples.setdefault(tuple(words[f : f + n].tolist()), len(tuples)) for f, n in zip(first, left, strict=True)], np.uint64)
+    return [np.unique(hashes[to[i] : to[i + 1]]) for i in range(len(offsets) - 1)]
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns node and component (the smallest node reachable) for every node of a link."""
-    steps, edges, turn = [], links.select("a", "b").where("a <> b").distinct(), 0
+    steps, edges, turn = [], cut(links.select("a", "b").where("a <> b").distinct()), 0
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
@@ -132,108 +162,234 @@ def components(links: DataFrame) -> DataFrame:
         step = steps[-1]
         far = edges.join(step, edges["a"] == step["from"]).select(F.col("to").alias("x"), "b")
         far = far.join(step, far["b"] == step["from"]).select("x", F.col("to").alias("y")).where("x <> y")
-        edges = cut(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        fewer = cut(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        drop(edges, near)
+        edges = fewer
         turn += 1
         if edges.isEmpty():
             break
     labels = steps[0].select(F.col("from").alias("node"), F.col("to").alias("label"))
     for step in steps[1:]:
         labels = labels.join(step, labels["label"] == step["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
-    labels = cut(labels)
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
-    return cut(labels.join(least, "label").select("node", "component"))
+    named = cut(labels)
+    least = named.groupBy("label").agg(F.min("node").alias("component"))
+    out = cut(named.join(least, "label").select("node", "component"))
+    drop(named, edges, *steps)
+    return out
+
+
+def _cells(table: pa.Table):
+    """The rows of each cell of a pack, and their sets. Cells are hashed together up to CHUNK bytes (one at least)."""
+    cell = table.column("cell").to_numpy()
+    texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]])) if len(order) else order
+    bounds = np.append(new, len(order))
+    before = np.append(0, np.cumsum(sizes[order]))[bounds]
+    for x, y in spans_of_texts(before, CHUNK):
+        rows = order[bounds[x] : bounds[y]]
+        sets = exact_sets(texts.take(pa.array(rows)))
+        for k in range(x, y):
+            yield order[bounds[k] : bounds[k + 1]], sets[bounds[k] - bounds[x] : bounds[k + 1] - bounds[x]]
+
+
+def _links(table: pa.Table, a: list[int], b: list[int]) -> pa.Table:
+    nodes = table.column("node").combine_chunks() if table.num_rows else pa.array([], table.schema.field("node").type)
+    release()
+    return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b. Those with percent or more of their union in common, decided on the full sets."""
-    one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b"))
-    both = pairs.join(two, "b").join(one, "a")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("union"))
-    return both.where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
+def _match_stars(percent: int):
+    """For each cell of a pack: links of its hub with its members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hub = table.column("hub").to_numpy(zero_copy_only=False)
+        a, b = [], []
+        for rows, sets in _cells(table):
+            members = [k for k in range(len(rows)) if not hub[rows[k]] and len(sets[k])]
+            if not members:
+                continue
+            flat, sizes = np.concatenate([sets[k] for k in members]), np.array([len(sets[k]) for k in members])
+            for h in np.flatnonzero(hub[rows]).tolist():
+                own = sets[h]
+                if not len(own):
+                    continue
+                found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+                linked = np.flatnonzero(common * 100 >= (sizes + len(own) - common) * percent)
+                a += [int(rows[h])] * len(linked)
+                b += [int(rows[members[k]]) for k in linked]
+        return _links(table, a, b)
+
+    return run
 
 
 def _match_blocks(percent: int):
-    """For each block pair of a pack: one link from each asking member to each other component that it reaches."""
+    """For each cell of a pack: one link from each asking member to each other component that it reaches."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        group, rep, label, asks = (table.column(c).to_numpy() for c in ("group", "rep", "label", "asks"))
-        lists = table.column("hashes").combine_chunks()
-        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else order
-        links = []
-        for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
-            rows = order[s:e]
-            codes = np.unique(np.concatenate([flat[at[r] : at[r + 1]] for r in rows]), return_inverse=True)[1]
-            ends = np.cumsum(sizes[rows])
-            marks = np.zeros(codes.max() + 1, np.int64)
-            for k in np.flatnonzero(asks[rows]):
-                own = codes[ends[k] - sizes[rows[k]] : ends[k]]
-                marks[own] = 1
-                common = np.add.reduceat(marks[codes], ends - sizes[rows])
-                marks[own] = 0
-                linked = rows[(common * 100 >= (sizes[rows] + sizes[rows[k]] - common) * percent) & (label[rows] != label[rows[k]])]
-                for r in linked[np.unique(label[linked], return_index=True)[1]]:
-                    links.append((rep[rows[k]], rep[r]))
-        a, b = (np.array([x[i] for x in links], rep.dtype) for i in (0, 1))
-        return pa.table({"a": pa.array(a, table.schema.field("rep").type), "b": pa.array(b, table.schema.field("rep").type)})
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        a, b = [], []
+        for rows, sets in _cells(table):
+            live = [k for k in range(len(rows)) if len(sets[k])]
+            rows, sets = rows[live], [sets[k] for k in live]
+            if not len(rows):
+                continue
+            sizes, label = np.array([len(s) for s in sets]), labels[rows]
+            # the rarest shingles of the cell first: members that can be linked share one of the first of each
+            codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+            rank = np.empty(len(counts), np.int64)
+            rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+            ends = np.cumsum(sizes)
+            flat = rank[codes]
+            own = [np.sort(flat[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+            first = [r[: n - -(-n * percent // 100) + 1] for r, n in zip(own, sizes.tolist(), strict=True)]
+            of = np.repeat(np.arange(len(rows)), [len(f) for f in first])
+            tokens = np.concatenate(first)
+            order = np.argsort(tokens, kind="stable")
+            tokens, of = tokens[order], of[order]
+            marks = np.zeros(len(counts), np.int64)
+            for k in np.flatnonzero(asks[rows]).tolist():
+                low, high = np.searchsorted(tokens, first[k], "left"), np.searchsorted(tokens, first[k], "right")
+                near = np.unique(np.concatenate([of[x:y] for x, y in zip(low, high, strict=True)]))
+                near = near[(label[near] != label[k]) & (np.minimum(sizes[near], sizes[k]) * 100 >= np.maximum(sizes[near], sizes[k]) * percent)]
+                if not len(near):
+                    continue
+                marks[own[k]] = 1
+                common = np.array([marks[own[x]].sum() for x in near.tolist()])
+                marks[own[k]] = 0
+                linked = near[common * 100 >= (sizes[near] + sizes[k] - common) * percent]
+                heads = linked[np.unique(label[linked], return_index=True)[1]]
+                a += [int(rows[k])] * len(heads)
+                b += [int(rows[x]) for x in heads]
+        return _links(table, a, b)
 
     return run
 
 
-def rest_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """members: rep, n, cluster, label. Links between different labels of a cluster that are not known yet, as many as join all that belong together."""
-    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"))
-    split = sizes.groupBy("cluster").agg(F.sum("size").alias("size"), F.max(F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"))
-    split = cut(split.where("labels > 1").select("cluster", F.col("largest.label").alias("main"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("largest.size")) / block).cast("int").alias("ask_blocks")))
-    held = members.join(split, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    held = cut(held.withColumn("ask_block", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("rep", F.lit(1)), "ask_blocks").cast("int"))))
+def _packs(placed: DataFrame, n: str = "n") -> int:
+    return max(64, int((placed.agg(F.sum(n)).first()[0] or 0) // PACK))
+
+
+def confirm(stars: DataFrame, texts: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """stars: a (hub), b, n_a, n_b (the sizes of their sets). Those with percent or more of their union in common, decided on their words. Sizes too far apart can't be linked."""
+    near = stars.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+    hubs = near.groupBy("a", "n_a").agg(F.ceil(F.greatest(F.sum("n_b") / block, F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    members = near.join(hubs.drop("n_a"), "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), "blocks").cast("int")).alias("cell"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.lit(False).alias("hub"))
+    copies = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("a", "block").alias("cell"), F.col("a").alias("node"), F.col("n_a").alias("n"), F.lit(True).alias("hub"))
+    placed = cut(members.unionByName(copies))
+    rows = placed.withColumn("pack", F.pmod("cell", F.lit(_packs(placed)))).join(texts, placed["node"] == texts["id"]).select("pack", "cell", "node", "hub", "text")
+    kind = stars.schema["b"].dataType.simpleString()
+    links = cut(rows.groupBy("pack").applyInArrow(_match_stars(percent), f"a {kind}, b {kind}"))
+    drop(placed)
+    return links
+
+
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def rare_groups(held: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bits: int = SKETCH_BITS) -> DataFrame:
+    """held: node, label, text. Returns node and group: members that share rare shingles with members of other labels, directly or through others."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for _, sets in sets_of(batch.column(0), shingle):
+                total += np.bincount(_slots(np.concatenate(sets), bits), minlength=1 << bits)
+        filled = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(total[filled])], names=["slot", "n"])
+
+    # 2^bits counts at most, whatever the input
+    found = map_arrow(held.select("text"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << bits, np.int64)
+    often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    kind, label_kind = held.schema["node"].dataType.simpleString(), held.schema["label"].dataType.simpleString()
+    shared = held.sparkSession.sparkContext.broadcast(often)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, sets in sets_of(batch.column(2), shingle):
+                rare = []
+                for s in sets:
+                    take = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
+                    rare.append(s[np.lexsort((s, shared.value[_slots(s, bits)]))[:take]])
+                of = pa.array(np.repeat(np.arange(a, a + len(sets)), [len(r) for r in rare]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(rare).view(np.int64))], names=["node", "label", "token"])
+
+    tokens = cut(map_arrow(held.select("node", "label", "text"), prefix, f"node {kind}, label {label_kind}, token long"))
+    mixed = cut(tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("hub")).where("x <> y").select("token", "hub"))
+    edges = cut(tokens.join(mixed, "token").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    groups = components(edges).select("node", F.col("component").alias("group"))
+    shared.destroy()
+    drop(tokens, mixed, edges)
+    return groups
+
+
+def rest_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """members: node, n, cluster, label. Links between different labels of a cluster that are not known yet, as many as join all that belong together."""
+    kind = members.schema["node"].dataType.simpleString()
+    several = members.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cluster")
+    split = cut(members.join(several, "cluster").select("node", "n", "label"))
+    held = cut(split.join(texts, split["node"] == texts["id"]).select("node", "label", "text"))
+    near = cut(split.join(rare_groups(held, percent, shingle), "node"))
+    sizes = near.groupBy("group", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    whole = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max(F.struct("n", "rows", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = lambda n, rows: F.ceil(F.greatest(n / block, rows / BLOCK_MEMBERS)).cast("int")
+    plan = cut(whole.select("group", F.col("most.label").alias("main"), blocks(F.col("n"), F.col("rows")).alias("blocks"), blocks(F.col("n") - F.col("most.n"), F.col("rows") - F.col("most.rows")).alias("ask_blocks")))
+    near = near.join(plan, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    near = cut(near.withColumn("ask_block", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("node", F.lit(1)), "ask_blocks").cast("int"))))
     # a member goes to the blocks of all asking blocks, and one that asks to all other blocks as well
-    there = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select("rep", "n", "cluster", "label", F.col("block").alias("b"), "q", F.coalesce(F.col("ask_block") == F.col("q"), F.lit(False)).alias("asks"))
-    asking = held.where("ask_block is not null and blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("b") != F.col("block"))
-    placed = cut(there.unionByName(asking.select("rep", "n", "cluster", "label", "b", F.col("ask_block").alias("q"), F.lit(True).alias("asks"))))
-    total = placed.agg(F.sum("n")).first()[0] or 0
-    packs = max(64, int(total // PACK))
-    placed = placed.withColumn("group", F.xxhash64("cluster", "b", "q")).withColumn("pack", F.pmod("group", F.lit(packs)))
-    rows = placed.join(sets, placed["rep"] == sets["id"]).select("pack", "group", "rep", "label", "asks", "hashes")
-    kind = members.schema["rep"].dataType.simpleString()
-    return rows.groupBy("pack").applyInArrow(_match_blocks(percent), f"a {kind}, b {kind}")
+    there = near.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select("node", "n", "group", "label", F.col("block").alias("b"), "q", F.coalesce(F.col("ask_block") == F.col("q"), F.lit(False)).alias("asks"))
+    asking = near.where("ask_block is not null and blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("b") != F.col("block"))
+    placed = cut(there.unionByName(asking.select("node", "n", "group", "label", "b", F.col("ask_block").alias("q"), F.lit(True).alias("asks"))))
+    own = held.select(F.col("node").alias("id"), "text")
+    rows = placed.withColumn("cell", F.xxhash64("group", "b", "q")).withColumn("pack", F.pmod("cell", F.lit(_packs(placed)))).join(own, placed["node"] == own["id"]).select("pack", "cell", "node", "label", "asks", "text")
+    links = cut(rows.groupBy("pack").applyInArrow(_match_blocks(percent), f"a {kind}, b {kind}"))
+    drop(split, held, plan, near, placed)
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """id_col, n_shingles, component_id, kept for every row."""
     every = cut(sketch(docs, id_col, text_col, shingle, bands, rows))
-    digest = ["digest_a", "digest_b", "n_shingles"]
-    classes = cut(every.where("n_shingles > 0 and id is not null").groupBy(*digest, "keys").agg(F.min("id").alias("rep")))
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(0)).alias("h"), "rep")).alias("hub"), F.count(F.lit(1)).alias("members"))
-    hubs = hubs.where("members > 1").select("key", F.col("hub.rep").alias("a"))
-    stars = cut(keyed.join(hubs, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-
-    cluster = components(stars)
-    sizes = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
-    ids = cluster.select(F.col("node").alias("id"))
-    sets = cut(full_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi"), shingle))
-    links = cut(confirm(stars, sets, percent))
-    known = components(links).withColumnRenamed("component", "label")
-    members = cluster.join(known, "node", "left").join(sizes, "node").select(F.col("node").alias("rep"), "n", F.col("component").alias("cluster"), F.coalesce("label", "node").alias("label"))
-    links = links.unionByName(cut(rest_links(members, sets, percent, block)))
-    label = components(links)
-
-    named = classes.join(label, classes["rep"] == label["node"], "left").select(*digest, F.coalesce("component", "rep").alias("component"))
-    out = every.drop("keys").join(named, digest, "left")
+    real = every.where("n_shingles > 0 and id is not null")
+    classes = cut(real.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(0)).alias("h"), "rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members"))
+    hubs = hubs.where("members > 1").select("key", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"))
+    stars = cut(keyed.join(hubs, "key").select("a", F.col("rep").alias("b"), "n_a", F.col("n").alias("n_b")).where("a <> b").distinct())
+
+    # texts of one id: all of them are the same node
+    twice = cut(real.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"))
+    named = real.join(twice, "id").select("id", "digest").join(classes.select("digest", "rep"), "digest")
+    own = cut(named.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
+
+    cluster = components(stars.unionByName(own, allowMissingColumns=True))
+    ids = cut(cluster.select(F.col("node").alias("key")))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = cut(with_keys(text, [text["id"]], ids, "left_semi"))
+    links = confirm(stars, texts, percent, block)
+    known = components(links.unionByName(own))
+    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"))
+    members = cluster.withColumnRenamed("component", "cluster").join(known, "node", "left").join(sizes, "node").select("node", "n", "cluster", F.coalesce("component", "node").alias("label"))
+    rest = rest_links(members, texts, percent, shingle, block)
+    label = components(links.unionByName(own).unionByName(rest))
+    final = cut(classes.select("digest", "rep").join(label, classes["rep"] == label["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")))
+    drop(classes, stars, twice, own, cluster, ids, texts, links, known, rest, label)
+
+    out = every.drop("keys").join(final, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each group of near copies the document with the smallest id."""
-    gone = near_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_id"], "left_anti")
+    (key,) = unused(docs.columns, "_id")
+    gone = cut(near_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(key)).distinct())
+    return with_keys(docs, [docs[id_col]], gone, "left_anti")
 
 
 NEAR_DEDUP_SQL = r"""
