@@ -9,8 +9,8 @@ among the rest by weight. Documents of a source follow in the order of md5(id):
 documents up to the remainder; the document on the edge gives the words that are still missing.
 
 Null and empty texts have size 0, take nothing and have no position. A null source is a source of its own, last in order. Rows that
-repeat an id are separate documents (ties in the order are of equal id and fall by size). An empty table gives an empty table.
-Other columns are not read.
+repeat an id are separate documents (ties in the order are of equal id and fall by size and digest; rows that agree in these as well are told apart by a number that
+means nothing else). Very long texts are only counted. An empty table gives an empty table. Other columns are not read; mixed_documents passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused, with_keys
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -31,6 +31,11 @@ def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _digest(text: Column) -> Column:
+    """Tells the texts of one id and source apart."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def segments(schedule) -> list[tuple[float, float, float, float, float]]:
     """(start, width, weight at start, weight at end, demand before it) of each piece; all demand adds up to 1."""
     area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:]))
@@ -77,7 +82,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_passes: int = MAX_PASSES, share: float = 1.0) -> DataFrame:
-    """id, crc (of the text), size, source_size, rank, target, turn, before (words of the source ahead of the row), full_passes, part, taken for every row.
+    """id, no_source, source, digest (of the text), size, source_size, rank, target, turn, before (words of the source ahead of the row), full_passes, part, taken for every row.
 
     The running sums over a source are made in two levels: sums of buckets of the md5 order, then rows of one bucket, so that a source with most
     of the rows is still dealt out to many tasks.
@@ -85,7 +90,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     base = cut(docs.select(
         F.col(id_col).alias("id"), words(text_col).alias("size"), F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("turn"),
-        F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("crc"),
+        _digest(F.col(text_col)).alias("digest"),
     ))
     bits = min(17, max(3, (base.count().bit_length() + 1) // 2))
     base = base.withColumn("bucket", F.shiftright(F.conv(F.substring("turn", 1, 5), 16, 10).cast("int"), 20 - bits))
@@ -94,7 +99,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     targets = source_targets(buckets.groupBy(*key).agg(F.sum("bucket_size").alias("source_size")), weights, max_passes, share)
     ahead = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = cut(buckets.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).join(targets, key).drop("bucket_size"))
-    within = Window.partitionBy(*key, "bucket").orderBy("turn", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*key, "bucket").orderBy("turn", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.join(buckets, [*key, "bucket"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     whole = F.floor("target").cast("long")
     rows = rows.withColumn("full_passes", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as long) div source_size")).otherwise(F.lit(0).cast("long")))
@@ -122,12 +127,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_passes: int = MAX_PASSES, share: float = 1.0, schedules=SCHEDULES) -> DataFrame:
     """The rows of docs in training order, with all their columns: one for each pass that takes words of the document. The document on a target's edge comes whole."""
-    rows = mix_plan(docs, id_col, text_col, source_col, weights, max_passes, share).where("taken > 0")
-    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full_passes") + (F.col("part") > 0).cast("long") - 1)))
-    rows = _positioned(rows, F.col("pass"), schedules).select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "turn", "position")
-    own = docs.withColumn("_own", F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    joined = own.join(rows.hint("shuffle_hash"), own[id_col].eqNullSafe(rows["_id"]) & (own["_own"] == rows["_crc"]))
-    return joined.repartitionByRange("position", "turn").sortWithinPartitions("position", "turn").select(*[own[c] for c in docs.columns])
+    plan = cut(mix_plan(docs, id_col, text_col, source_col, weights, max_passes, share).where("taken > 0").select("id", "no_source", "source", "digest", "rank", "turn", "size", "source_size", "before", "target", "full_passes", "part", "taken"))
+    key = ["id", "no_source", "source", "digest"]
+    names = dict(zip([*key, "number", "turn", "position"], unused(docs.columns, *key, "number", "turn", "position"), strict=True))
+    source = F.coalesce(docs[source_col].cast("string"), F.lit(""))
+    on = [docs[id_col], docs[source_col].isNull(), source]
+    twice = cut(plan.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key))
+    same_order = Window.partitionBy(*key).orderBy("before")
+    if twice.isEmpty():
+        plan, own = plan.withColumn("number", F.lit(1)), docs.withColumn(names["number"], F.lit(1))
+    else:  # rows that agree in id, source and text are numbered on both sides
+        plan = plan.withColumn("number", F.row_number().over(same_order))
+        digest = _digest(docs[text_col])
+        first = Window.partitionBy(F.col(id_col), F.col(source_col), _digest(F.col(text_col))).orderBy(F.lit(0))
+        many = with_keys(docs, on, twice, "left_semi", [digest]).withColumn(names["number"], F.row_number().over(first))
+        own = with_keys(docs, on, twice, "left_anti", [digest]).withColumn(names["number"], F.lit(1)).unionByName(many)
+    passes = plan.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full_passes") + (F.col("part") > 0).cast("long") - 1)))
+    passes = _positioned(passes, F.col("pass"), schedules).select(*[F.col(k).alias(v) for k, v in names.items()])
+    own = own.withColumns({names["id"]: F.col(id_col), names["no_source"]: F.col(source_col).isNull(), names["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit("")), names["digest"]: _digest(F.col(text_col))})
+    # null ids are keys like any other
+    same = [own[names[k]].eqNullSafe(passes[names[k]]) for k in (*key, "number")]
+    joined = own.join(passes.hint("shuffle_hash"), same).select(*[own[c] for c in docs.columns], passes[names["position"]], passes[names["turn"]])
+    order = [names["position"], names["turn"]]
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def mixing_sql() -> str:
