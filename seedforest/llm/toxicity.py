@@ -11,8 +11,8 @@ The words within WINDOW of a hit decide whether it is quoted (quotation marks ar
 regression over the hits' weights, density and context gives the score. Terms and regression are fitted on at most `sample` labelled rows (the first in order of
 a hash of the id). Texts alone are scored: id, language, source and labels aren't inputs.
 
-Null and empty texts have no hits and get the score of a text without any. Repeated rows are scored alike. Of several labels of an id the largest counts; labels of
-unknown ids do nothing; without any labels the seed lexicon's prior model scores. An empty table gives an empty table. Other columns aren't read.
+Null and empty texts have no hits and get the score of a text without any; very long texts are scored whole, one at a time. Repeated rows are scored alike. Of several labels of an id the
+largest counts, of several texts of a labelled id the smallest is learnt from, so no repetition brings more than `sample` rows together; labels of unknown ids do nothing; without any labels the seed lexicon's prior model scores. An empty table gives an empty table. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 SAMPLE = 20_000
-TERMS = 2_000
 STEMS = range(3, 9)
 WINDOW = 6
 THRESHOLD = 0.3
@@ -49,7 +48,7 @@ PRIOR = (-5.0, 0.9, 0.4, 0.8, -0.8, 0.3, 0.0)
 class Automaton:
     """terms: (text, is_stem, weight). `look` gives (term, edits) of the best term for a word, or None."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], fuzzy: int = 5, most_states: int = 100_000, twice: int = 10):
+    def __init__(self, terms: list[tuple[str, bool, float]], fuzzy: int = 5, most_states: int = 20_000, twice: int = 10):
         self.terms, self.fuzzy, self.twice, self.most = terms, fuzzy, twice, most_states
         self.children: list[dict[str, int]] = [{}]
         self.end: list[int | None] = [None]
@@ -148,7 +147,7 @@ class Automaton:
 class Scorer:
     """Features and scores of texts. Words looked up before are kept, up to a bound."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], coefficients=PRIOR, most_words: int = 300_000):
+    def __init__(self, terms: list[tuple[str, bool, float]], coefficients=PRIOR, most_words: int = 100_000):
         self.automaton, self.terms, self.coefficients, self.most = Automaton(terms), terms, coefficients, most_words
         self.known: dict[str, tuple[int, int] | None] = {}
 
@@ -217,7 +216,7 @@ def counted(sample: DataFrame, least: int = 1) -> DataFrame:
                 found.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array(list(found.values()), pa.int64())], names=["form", "n"])
 
-    return sample.select("text").mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return map_arrow(sample.select("text"), run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def candidates(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, forms_seen: int) -> DataFrame:
@@ -230,7 +229,7 @@ def candidates(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, f
     return both.where((share > base - 1e-9) & (lift >= 8 - 1e-6) & (evidence >= math.log(max(2, forms_seen)) + 2 - 1e-6))
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, forms_seen: int, most: int = TERMS) -> list[tuple[str, bool, float]]:
+def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, forms_seen: int) -> list[tuple[str, bool, float]]:
     """Forms that are more common in toxic texts than chance explains among so many forms; stems only where they gather several words."""
     strong = {}
     base = n_toxic / max(1, n_toxic + n_clean)
@@ -253,7 +252,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         if not form.endswith("*") and not any(form[:n] in stems for n in STEMS if n <= len(form)):
             out.append((form, False, w, a))
     out.sort(key=lambda t: (-t[3] * t[2], t[0]))
-    return [(t, stem, w) for t, stem, w, _ in out[:most]]
+    return [(t, stem, w) for t, stem, w, _ in out]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[float, ...]:
@@ -279,10 +278,11 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list, tuple]:
     """Terms and coefficients. The driver gets at most `sample` rows of features, and the counts of the forms that pass."""
     seeds = [(w, False, 3.0) for w in SEED]
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col))
-    chosen = chosen.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("y"))
+    chosen = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("y")).where("y is not null and label_id is not null").where(~held_out("label_id"))
+    chosen = chosen.groupBy("label_id").agg(F.max("y").alias("y"))
     chosen = cut(chosen.orderBy(F.md5(F.col("label_id").cast("string").cast("binary")), "label_id").limit(sample))
-    texts = cut(docs.join(F.broadcast(chosen), docs[id_col] == chosen["label_id"]).select(F.col(text_col).cast("string").alias("text"), F.col("y").cast("int").alias("y")))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    texts = cut(own.groupBy("label_id").agg(F.min("text").alias("text"), F.first("y").cast("int").alias("y")).select("text", "y"))
     sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -302,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [scorer.features(t)[0] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(FEATURES))], names=["y", *(f"x{k}" for k in range(FEATURES))])
 
-    rows = texts.mapInArrow(features, schema).collect()
+    rows = map_arrow(texts, features, schema).collect()
     rows = np.array(sorted(tuple(r) for r in rows), float)
     return terms, fit_logistic(rows[:, 1:], rows[:, 0])
 
@@ -320,7 +320,7 @@ def score_texts(docs: DataFrame, model: tuple[list, tuple], id_col: str = "doc_i
             scores = [scorer.score(f) for f, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([n for _, n in found], pa.int32())], names=["id", "score", "predicted", "hits"])
 
-    return narrow.mapInArrow(run, f"id {kind}, score double, predicted int, hits int").withColumnRenamed("id", id_col)
+    return map_arrow(narrow, run, f"id {kind}, score double, predicted int, hits int").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: tuple[list, tuple], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -333,4 +333,4 @@ def drop_toxic(docs: DataFrame, model: tuple[list, tuple], text_col: str = "text
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(scorer.features(t.as_py())[0]) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
