@@ -5,10 +5,12 @@ clockwise that still has room; a shard is full at (1 + slack) times the mean loa
 small ones fill what is left. Where no shard has room for a key, the least loaded shard takes it.
 
 Keys are placed by cell: a cell is one ring position and one size class (power of two), so the placement sees at most RING * 64
-cells of counts and bytes, however many documents there are; rows are then looked up by cell. Only JVM expressions touch rows.
+cells of counts and bytes, however many documents there are; rows are then looked up by cell. Only JVM expressions touch rows. A cell with more than
+1 / PARTS of a shard's share (an id that very many rows have, null among them) is split into parts that are placed one by one, so it overflows like single keys
+do and no task numbers all of its rows.
 
-Null counts as an empty text with its 8 bytes overhead; a null id is a key like any other; repeated rows stay in one cell and get slots
-of their own; an empty table gives an empty table; other columns are not read.
+Null counts as an empty text with its 8 bytes overhead; a null id is a key like any other; repeated rows get slots of their own. A single text larger than
+the room of a shard exceeds the bound: the least loaded shard takes it. Very long texts are only measured. An empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RING = 8192
 VIRTUAL_NODES = 64
 OVERHEAD = 8
+PARTS = 64
 
 
 def ring_position(key: str, ring: int = RING) -> int:
@@ -42,18 +47,18 @@ def ring_orders(shards: int, virtual_nodes: int = VIRTUAL_NODES, ring: int = RIN
     return [p for p, _ in nodes], orders
 
 
-def place_cells(cells: list[tuple[int, int, int, int]], shards: int, slack: float, virtual_nodes: int = VIRTUAL_NODES, ring: int = RING) -> dict[tuple[int, int], tuple[int, int]]:
-    """cells: (position, size class, rows, bytes). Returns the shard of each cell and the slot of its first row."""
+def place_cells(cells: list[tuple[int, int, int, int, int]], shards: int, slack: float, virtual_nodes: int = VIRTUAL_NODES, ring: int = RING) -> dict[tuple[int, int, int], tuple[int, int]]:
+    """cells: (position, size class, part, rows, bytes). Returns the shard of each cell and the slot of its first row."""
     positions, orders = ring_orders(shards, virtual_nodes, ring)
-    room = (1 + slack) * sum(c[3] for c in cells) / shards
+    room = (1 + slack) * sum(c[4] for c in cells) / shards
     load, rows, out = [0] * shards, [0] * shards, {}
-    turn = lambda c: hashlib.md5(f"{c[0]},{c[1]}".encode()).digest()
-    for position, kind, n, size in sorted(cells, key=lambda c: (-c[1], turn(c))):
+    turn = lambda c: hashlib.md5(f"{c[0]},{c[1]},{c[2]}".encode()).digest()
+    for position, kind, part, n, size in sorted(cells, key=lambda c: (-c[1], turn(c))):
         order = orders[bisect_left(positions, position) % len(positions)]
         shard = next((s for s in order if load[s] + size <= room), None)
         if shard is None:
             shard = min(order, key=lambda s: load[s])
-        out[position, kind] = (shard, rows[shard])
+        out[position, kind, part] = (shard, rows[shard])
         load[shard] += size
         rows[shard] += n
     return out
@@ -65,10 +70,19 @@ def shard_documents(docs: DataFrame, shards: int = 24, slack: float = 0.0001, id
     keyed = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     keyed = keyed.withColumn("position", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null"))), F.lit(RING)).cast("int"))
     keyed = keyed.withColumn("kind", F.floor(F.log2("size")).cast("int"))
-    counted = keyed.groupBy("position", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
-    placed = place_cells([(c["position"], c["kind"], c["n"], c["bytes"]) for c in counted], shards, slack)
-    rows = [(p, k, s, first) for (p, k), (s, first) in placed.items()]
-    where = docs.sparkSession.createDataFrame(rows, "position int, kind int, shard int, first long")
-    slot = F.row_number().over(Window.partitionBy("position", "kind").orderBy("id", "text_crc32", "size")) - 1
-    out = keyed.withColumn("within", slot).join(F.broadcast(where), ["position", "kind"])
+    # written once, so that every later read sees the same mark on rows that agree in all else
+    keyed = cut(keyed.withColumn("mark", F.xxhash64("id", "text_crc32", F.monotonically_increasing_id())))
+    cell = ["position", "kind"]
+    share = (keyed.agg(F.sum("size")).first()[0] or 0) / shards / PARTS
+    hot = keyed.groupBy(*cell).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > share) & (F.col("n") > 1))
+    # no more than shards * PARTS cells can exceed their share
+    hot = cut(hot.select(*cell, F.ceil(F.col("bytes") / share).cast("int").alias("parts")))
+    parted = keyed.join(F.broadcast(hot), cell, "left").withColumn("part", F.coalesce(F.pmod("mark", "parts"), F.lit(0)).cast("int"))
+    cell.append("part")
+    counted = parted.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
+    placed = place_cells([(c["position"], c["kind"], c["part"], c["n"], c["bytes"]) for c in counted], shards, slack)
+    rows = [(*c, s, first) for c, (s, first) in placed.items()]
+    where = docs.sparkSession.createDataFrame(rows, "position int, kind int, part int, shard int, first long")
+    slot = F.row_number().over(Window.partitionBy(*cell).orderBy("id", "text_crc32", "size", "mark")) - 1
+    out = parted.withColumn("within", slot).join(F.broadcast(where), cell)
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("first") + F.col("within")).alias("slot"))
