@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import spans_of_texts, text_buffer
+from .common import map_arrow, spans_of_texts, text_buffer
 
 SHINGLE = 5
 BANDS = 20
@@ -163,4 +163,4 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = [[{"template": n, "first_word": f, "contained": c} for n, f, c in x] for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at).astype(np.int64)), pa.array(rows, match)], names=["id", "n_shingles", "matches"])
 
-    return narrow.mapInArrow(run, f"id {kind}, n_shingles long, matches array<struct<template: string, first_word: long, contained: double>>").withColumnRenamed("id", id_col)
+    return map_arrow(narrow, run, f"id {kind}, n_shingles long, matches array<struct<template: string, first_word: long, contained: double>>").withColumnRenamed("id", id_col)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cut, spans_of_texts, text_buffer
+from .common import cut, map_arrow, spans_of_texts, text_buffer
 
 LENGTH = 100
 GRAM = 20
@@ -380,15 +380,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = max(64, int(n_bytes * 40 / ((length - gram) / 2) / BUCKET_BYTES))
 
-    dealt = texts.mapInArrow(_anchors(length, gram, buckets), ANCHORS)
+    dealt = map_arrow(texts, _anchors(length, gram, buckets), ANCHORS)
     found = cut(dealt.groupBy("bucket").applyInArrow(_match_regions, RANGES))
 
     closer = found.where("anchor >= 0").groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("wanted"))
     look = texts.join(closer.hint("shuffle_hash"), ["doc", "crc"]).select("doc", "crc", "text", "wanted")
-    windows = look.mapInArrow(_fragments(length, buckets), FRAGMENTS).groupBy("bucket").applyInArrow(_match_windows(length), RANGES)
+    windows = map_arrow(look, _fragments(length, buckets), FRAGMENTS).groupBy("bucket").applyInArrow(_match_windows(length), RANGES)
     ranges = found.where("anchor < 0").unionByName(windows).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     joined = texts.join(ranges.hint("shuffle_hash"), ["doc", "crc"], "left").select("doc", "text", "ranges")
-    out = joined.mapInArrow(_cut_ranges(with_texts), f"doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, end: long>>, kept binary" * with_texts)
+    out = map_arrow(joined, _cut_ranges(with_texts), f"doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, end: long>>, kept binary" * with_texts)
     own = F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind)
     return out.select(own.alias(id_col), *out.columns[1:])
 

@@ -4,8 +4,9 @@ mu-law and A-law bytes expand through tables of 256 entries built from the codec
 an Arrow batch are decoded together: one numpy step per nibble position, across blocks. Resampling is a polyphase filter with
 integer taps, so equal bytes give equal PCM whatever shares their batch.
 
-An undecodable container gives null PCM. Null bytes count as empty; empty audio has zero samples and features of zero; repeated rows are decoded one by one;
-an empty table gives an empty table; other columns are not read.
+An undecodable container gives null PCM. Null bytes count as empty; empty audio has zero samples and features of zero; repeated rows are decoded one by one; very long
+audio is decoded whole, one batch of a few MB (one container at least) at a time; an empty table gives an empty table. store_audio reads no other columns; decode_audio and audio_features
+pass other columns on, but for those named like one of their results.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_of_texts, text_buffer
+from .common import map_arrow, spans_of_texts, text_buffer
 
 MULAW, ALAW, ADPCM = 7, 6, 0x11
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
@@ -181,11 +182,12 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = [wav(codec_for(p), p) for p in padded]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
-    return narrow.mapInArrow(store, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return map_arrow(narrow, store, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def _read(media: DataFrame, schema: str, row) -> DataFrame:
-    keep = [c for c in media.columns if c != "media"]
+    made_names = {f.split()[0].lower() for f in schema.split(", ")}
+    keep = [c for c in media.columns if c != "media" and c.lower() not in made_names]
     kinds = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -200,7 +202,7 @@ def _read(media: DataFrame, schema: str, row) -> DataFrame:
                 made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(a, len(stored)) for c in keep), *made], names=keep + names)
 
-    return media.mapInArrow(decode, f"{kinds}, {schema}")
+    return map_arrow(media, decode, f"{kinds}, {schema}")
 
 
 def decode_audio(media: DataFrame, rate: int = 16000) -> DataFrame:

@@ -15,6 +15,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 #: (host, path prefix, verdict): fixed values of the contract.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Own vocabulary: term -> weight. Terms of STRICT_WEIGHT reject alone.
@@ -101,7 +103,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms", "weight"])
 
-    return narrow.mapInArrow(judge, f"id {id_type}, {RESULT}").withColumnRenamed("id", id_col)
+    return map_arrow(narrow, judge, f"id {id_type}, {RESULT}").withColumnRenamed("id", id_col)
 
 
 def url_filter_sql(vocabulary=None) -> str:

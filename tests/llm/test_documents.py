@@ -51,7 +51,7 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("options", [{"digest_all": True}, {}, {"broadcast_keys": 0}])
+@pytest.mark.parametrize("options", [{"digest_all": True}, {}])
 def test_exact_dedup(spark, texts, options):
     rows = exact_dedup.exact_dedup(table(spark, texts), **options).collect()
     groups = {}
@@ -135,7 +135,7 @@ def sharding_rows(spark):
 
 def test_ring_moves_little():
     """Where nothing overflows, a new shard only takes keys from others."""
-    cells = [(p, 3, 1, 1) for p in range(0, sharding.RING, 4)]
+    cells = [(p, 3, 0, 1, 1) for p in range(0, sharding.RING, 4)]
     before, after = sharding.place_cells(cells, 8, 1.0), sharding.place_cells(cells, 9, 1.0)
     moved = [c for c in before if before[c][0] != after[c][0]]
     assert all(after[c][0] == 8 for c in moved) and 0 < len(moved) < len(cells) / 5
