@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def label_masks(labels: DataFrame, label: str = "label") -> DataFrame:
     """Adds bg, fg and grey level (0 to 255) of each label, scaled by the image's largest; truncated as bytes are."""
-    most = F.max(label).over(Window.partitionBy("image_id"))
+    labels = labels.join(labels.groupBy("image_id").agg(F.max(label).alias("_most")), "image_id")
+    most = F.col("_most")
     bg = F.when(most > 1, F.floor((F.col(label) - 1) * 255 / (most - 1))).otherwise(F.lit(0)).cast("int")
-    return labels.withColumns({"bg_mask": bg, "fg_mask": 255 - bg, "level": F.floor(F.col(label) * 255 / most).cast("int")})
+    return labels.withColumns({"bg_mask": bg, "fg_mask": 255 - bg, "level": F.floor(F.col(label) * 255 / most).cast("int")}).drop("_most")
 
 
 def tint(value: dict[str, Column], keep: str, mask: Column, factor: float = 0.2) -> dict[str, Column]:

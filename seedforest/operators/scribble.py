@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from .graph import components
+
 
 def marker_sizes(scribbles: DataFrame) -> DataFrame:
     """Points of each marker and the number before it in its image."""
@@ -80,33 +83,19 @@ def object_first(objects: DataFrame, background: DataFrame) -> DataFrame:
     return both.withColumns({"marker_id": number, "is_object": F.col("_b") == 0}).drop("_b")
 
 
-def connected_components(points: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """points: grp, x, y. Adds component: the smallest (y, x) order number reachable through 4-neighbours of the group. Rounds of taking the
-    smallest number of the own run along rows, then along columns; a compact blob needs a few."""
-    numbered = points.select("grp", "x", "y").distinct().withColumn("component", F.row_number().over(Window.partitionBy("grp").orderBy("y", "x")).cast("long") - 1)
-    spark = points.sparkSession
-
-    def runs(df: DataFrame, line: str, along: str) -> DataFrame:
-        w = Window.partitionBy("grp", line).orderBy(along)
-        df = df.withColumn("_new", F.coalesce((F.lag(along).over(w) != F.col(along) - 1).cast("int"), F.lit(1)))
-        df = df.withColumn("_run", F.sum("_new").over(w))
-        return df.withColumn("component", F.min("component").over(Window.partitionBy("grp", line, "_run"))).drop("_new", "_run")
-
-    current = numbered
-    for _ in range(most_rounds):
-        before = current.withColumn("_was", F.col("component"))
-        after = before
-        for _ in range(3):
-            after = runs(runs(after, "y", "x"), "x", "y")
-        after = _materialized(spark, after)
-        changed = after.where("component <> _was").isEmpty()
-        current = after.drop("_was")
-        if changed:
-            return current
-    raise RuntimeError("connected_components: more rounds are needed; raise most_rounds")
-
-
-def _materialized(spark, df: DataFrame) -> DataFrame:
-    from ..plans.lineage import written
-
-    return written(df)
+def connected_components(points: DataFrame) -> DataFrame:
+    """points: grp, x, y. Adds component: the smallest (y, x) order number reachable through 4-neighbours of the group. Points of a line that follow one another
+    make up a run; runs that touch are linked, and only these links are contracted, however long or wound a component is. Windows see one line or column at a time."""
+    line, column = Window.partitionBy("grp", "y").orderBy("x"), Window.partitionBy("grp", "x").orderBy("y")
+    seen = points.select("grp", "x", "y").distinct()
+    per_line = seen.groupBy("grp", "y").agg(F.count(F.lit(1)).alias("_n"))
+    before = per_line.select("grp", "y", F.coalesce(F.sum("_n").over(Window.partitionBy("grp").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = seen.join(before, ["grp", "y"]).withColumn("n", F.col("_before") + F.row_number().over(line) - 1)
+    first = F.coalesce(F.lag("x").over(line) != F.col("x") - 1, F.lit(True))
+    runs = numbered.withColumn("_first", F.when(first, F.col("n"))).withColumn("run", F.last("_first", True).over(line)).select("grp", "x", "y", "run")
+    runs = cut(runs)
+    touching = runs.withColumn("above", F.when(F.lag("y").over(column) == F.col("y") - 1, F.lag("run").over(column))).where("above is not null")
+    node = lambda n: F.struct("grp", F.col(n).alias("n"))
+    found = components(touching.select(node("above").alias("a"), node("run").alias("b")))
+    named = found.select(F.col("node.grp").alias("grp"), F.col("node.n").alias("run"), F.col("component.n").alias("component"))
+    return runs.join(named, ["grp", "run"], "left").select("grp", "x", "y", F.coalesce("component", "run").alias("component"))

@@ -98,3 +98,12 @@ def surviving_kinds(seeds: DataFrame, obj_markers: int, markers: int) -> DataFra
     return seeds.groupBy("image_id").agg(
         F.bool_or(F.col("label") <= obj_markers).alias("has_object"), F.bool_or((F.col("label") > obj_markers) & (F.col("label") <= markers)).alias("has_background"), F.bool_or(F.col("label") > markers).alias("has_grid")
     )
+
+
+def renumbered(labels: DataFrame, by: str) -> DataFrame:
+    """image_id, tree_id, new_id, size: the trees of a label table numbered anew in each image, in order of their `by` (a column, or size), then of their old number. Joined with
+    labels on image_id and tree_id it carries chosen or reordered trees back to the pixels. The window sees one row per tree."""
+    made = [] if by == "size" else [F.first(by).alias(by)]
+    each = labels.groupBy("image_id", "tree_id").agg(F.count(F.lit(1)).alias("size"), *made)
+    number = F.row_number().over(Window.partitionBy("image_id").orderBy(by, "tree_id")) - 1
+    return each.select("image_id", "tree_id", number.alias("new_id"), "size")

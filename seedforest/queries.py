@@ -11,6 +11,8 @@ from .functions import color, cost, view
 from .operators import cluster, scribble, seeds, stencil, trees, watershed
 from .plans import carriers as c
 from .plans.segment import segment
+from .sources import images
+from .sources import scribbles as scribbles_source
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -128,7 +130,7 @@ def image_cv(spark, sf):
 
 
 @query(sql(f"""SELECT p.image_id, p.idx, {r6('sqrt((p.l - q.l) ** 2 + (p.a - q.a) ** 2 + (p.b_ - q.b_) ** 2)')} AS l2, {r6('abs(p.l - q.l) + abs(p.a - q.a) + abs(p.b_ - q.b_)')} AS l1,
-    {r6('sqrt(((p.x - q.x) ** 2 + (p.y - q.y) ** 2)::DOUBLE)')} AS coords FROM lab p JOIN lab q ON p.image_id = q.image_id AND q.idx = 0""", "lab"))
+    {r6('sqrt(((p.x - q.x) ** 2 + (p.y - q.y) ** 2)::DOUBLE)')} AS coords FROM lab p JOIN first_pixel q ON p.image_id = q.image_id""", "lab", recursive="first_pixel AS MATERIALIZED (SELECT * FROM lab WHERE idx = 0)"))
 def color_distances(spark, sf):
     lab = color.with_lab(c.gray(spark, sf).withColumn("norm", F.lit(255)), "v", "v", "v")
     first = lab.where("idx = 0").select("image_id", *[F.col(k).alias(f"o{k}") for k in ("l", "a", "b_", "x", "y")])
@@ -215,6 +217,52 @@ def connected_components(spark, sf):
     return scribble.connected_components(c.gray(spark, sf).where("v >= 136").select(F.col("image_id").alias("grp"), "x", "y"))
 
 
+_LINK = """e AS (SELECT image_id, marker_id, ord, x AS x1, y AS y1, coalesce(lag(x) OVER w, x) AS x0, coalesce(lag(y) OVER w, y) AS y0 FROM thin WINDOW w AS (PARTITION BY image_id, marker_id ORDER BY ord)),
+f AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM e),
+h AS (SELECT image_id, marker_id, ord, k, CASE WHEN n = 0 THEN x0 ELSE x0 + sign(x1 - x0) * ((2 * k * abs(x1 - x0) + n - 1) // (2 * n)) END AS x, CASE WHEN n = 0 THEN y0 ELSE y0 + sign(y1 - y0) * ((2 * k * abs(y1 - y0) + n - 1) // (2 * n)) END AS y FROM f, LATERAL (SELECT unnest(range(n + 1)) AS k)),
+m AS (SELECT image_id, marker_id, x, y, min((ord, k)) AS first_at FROM h GROUP BY ALL)"""
+
+
+@query(sql("SELECT image_id, marker_id, CAST(row_number() OVER (PARTITION BY image_id, marker_id ORDER BY first_at) - 1 AS INT) AS ord, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM m", "sc", recursive="thin AS (SELECT * FROM sc WHERE ord % 4 = 0), " + _LINK))
+def linked_markers(spark, sf):
+    """Every fourth point of each marker, joined by lines."""
+    return scribble.connected(c.scribbles(spark, sf).where("ord % 4 = 0"))
+
+
+@query(sql("SELECT image_id, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY b, marker_id) - 1 AS INT) AS marker_id, ord, x, y, NOT b AS is_object FROM (SELECT *, marker_id < 2 AS b FROM sc)", "sc"))
+def object_first(spark, sf):
+    """Markers 2 and 3 as objects, ahead of 0 and 1 as background."""
+    marks = c.scribbles(spark, sf)
+    return scribble.object_first(marks.where("marker_id >= 2"), marks.where("marker_id < 2")).select("image_id", "marker_id", "ord", "x", "y", "is_object")
+
+
+@query("SELECT 'blank' AS image_id, CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y, i AS idx, 0 AS v0, 0 AS v1, 0 AS v2 FROM range(3200) t(i)")
+def blank_image(spark, sf):
+    made = images.blank_image(spark, c.ROWS, c.COLS, 3, "blank")
+    return made.select("image_id", "x", "y", "idx", *[F.get("val", F.lit(k)).alias(f"v{k}") for k in range(3)])
+
+
+@query(sql("SELECT CAST(image_id AS VARCHAR) AS image_id, marker_id, ord, x, y, marker_id < 1 AS is_object FROM sc", "sc"))
+def scribble_files(spark, sf):
+    """Scribbles written in the file's form and read back."""
+    text = scribbles_source.scribble_text(c.scribbles(spark, sf).withColumn("image_id", F.col("image_id").cast("string")))
+    return scribbles_source.parse_scribbles(text.select("image_id", F.split(F.trim("text"), r"\s*\n\s*").alias("lines")))
+
+
+@query(sql("SELECT DISTINCT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM im, (SELECT x, y FROM range(10, 31) a(x), range(5, 26) b(y) WHERE x IN (10, 30) OR y IN (5, 25) UNION SELECT x, y FROM range(20, 41) a(x), range(10, 21) b(y) WHERE ((x - 30) / 10.0::DOUBLE) ** 2 + ((y - 15) / 5.0::DOUBLE) ** 2 <= 1) p", "im"))
+def drawn_shapes(spark, sf):
+    """A rectangle's outline and an ellipse, as they are drawn on every image."""
+    points = sorted({*scribble.rectangle_outline(10, 5, 30, 25), *scribble.ellipse(20, 10, 40, 20)})
+    shape = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in points]))
+    return c.images(spark, sf).select("image_id", shape.alias("p")).select("image_id", "p.*")
+
+
+@query(sql("SELECT image_id, tree_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY n, tree_id) - 1 AS INT) AS new_id, n AS size FROM (SELECT image_id, tree_id, count(*) AS n FROM vor GROUP BY 1, 2)", "vor"))
+def renumbered_trees(spark, sf):
+    """Old to new tree numbers, smallest trees first."""
+    return trees.renumbered(c.voronoi(spark, sf), "size")
+
+
 # --- trees ---------------------------------------------------------------------------------------------------------------
 
 @query(sql("SELECT image_id, idx, tree_id FROM vor", "vor"))
@@ -395,6 +443,16 @@ def silhouette(spark, sf):
     return rounded(cluster.silhouette(points), "silhouette")
 
 
+# The same five operators under names of their own, with SQL over whole embeddings; the SQL above reads 8 and 4 coordinates and stays as its owner left it
+_WHOLE = "pw AS MATERIALIZED (SELECT vec_id AS point_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), cw AS MATERIALIZED (SELECT CAST(point_id AS INT) AS k, v AS cv FROM pw WHERE point_id < 3), aw AS MATERIALIZED (SELECT point_id, any_value(v) AS v, arg_min(k, (d, k)) AS k, min(d) AS dist FROM (SELECT point_id, v, k, list_sum([(v[i] - cv[i]) ** 2 FOR i IN range(1, len(v) + 1)]) AS d FROM pw, cw) GROUP BY point_id)"
+
+query(f"WITH {_WHOLE} SELECT point_id, k, {r6('dist')} AS dist FROM aw", "nearest_centroid_whole")(nearest_centroid)
+query(f"WITH {_WHOLE} SELECT cw.k, CAST(i - 1 AS INT) AS pos, {r6('CASE WHEN count(aw.k) > 1 THEN avg(aw.v[i]) ELSE any_value(cv[i]) END')} AS c FROM cw JOIN range(1, 65) r(i) ON true LEFT JOIN aw ON aw.k = cw.k GROUP BY cw.k, i", "centroid_update_whole")(centroid_update)
+query(f"WITH {_WHOLE} SELECT {r6('sum(dist)')} AS ssd FROM aw", "ssd_whole")(ssd)
+query(f"WITH {_WHOLE} SELECT k, count(*) AS size FROM aw GROUP BY k", "cluster_sizes_whole")(cluster_sizes)
+query("WITH " + _SIL.replace("embedding[1:4]", "embedding").replace("range(1, 5)", "range(1, len(a.v) + 1)") + f" SELECT grp, {r6('sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) / count(*)')} AS silhouette FROM e GROUP BY grp", "silhouette_whole")(silhouette)
+
+
 @query()
 def spectral_clusters(spark, sf):
     return cluster.cluster_groups(_grouped(spark, sf), "spectral")
@@ -447,13 +505,17 @@ def palette(spark, sf):
     return c.voronoi(spark, sf).select("image_id", "idx", color.palette_color(F.col("tree_id") + 1).alias("color"))
 
 
-@query()
+# CRC-32 of a text of ASCII letters, bit by bit
+_CRC = lambda t: f"xor(4294967295, list_reduce([4294967295] || list_transform(string_split({t}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))))"
+
+
+@query(sql("SELECT image_id, idx, r, g, b FROM vor JOIN t USING (tree_id)", "vor", recursive="t AS MATERIALIZED (SELECT tree_id, " + ", ".join(f"CAST({_CRC(f"'{k},' || tree_id")} % 255 AS INT) AS {k}" for k in "rgb") + " FROM (SELECT DISTINCT tree_id FROM vor))"))
 def scattered_colors(spark, sf):
     r, g, b = color.scattered_color(F.col("tree_id"))
     return c.voronoi(spark, sf).select("image_id", "idx", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-_EDGE = "e AS (SELECT p.image_id, p.idx AS a, q.idx AS b, p.v AS va, q.v AS vb FROM g p JOIN g q ON p.image_id = q.image_id AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1)))"
+_EDGE = "e AS (SELECT p.image_id, p.idx AS a, q.idx AS b, p.v AS va, q.v AS vb FROM g p JOIN g q ON p.image_id = q.image_id AND q.y = p.y AND q.x = p.x + 1 UNION ALL SELECT p.image_id, p.idx, q.idx, p.v, q.v FROM g p JOIN g q ON p.image_id = q.image_id AND q.x = p.x AND q.y = p.y + 1)"
 
 
 @query(sql("SELECT * FROM e", "g", recursive=_EDGE))
