@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import vec
 from .common import cut, drop, map_arrow, release, spans_of_texts, text_buffer, unused, with_keys
 
@@ -149,35 +150,6 @@ def exact_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return [np.unique(hashes[to[i] : to[i + 1]]) for i in range(len(offsets) - 1)]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: a, b. Returns node and component (the smallest node reachable) for every node of a link."""
-    steps, edges, turn = [], cut(links.select("a", "b").where("a <> b").distinct()), 0
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
-        near = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("from"), F.least("m", rank("a"))["to"].alias("to")))
-        # two hops at once
-        on = near.select(F.col("from").alias("to"), F.col("to").alias("next"))
-        steps.append(cut(near.join(on, "to").select("from", F.col("next").alias("to"))))
-        step = steps[-1]
-        far = edges.join(step, edges["a"] == step["from"]).select(F.col("to").alias("x"), "b")
-        far = far.join(step, far["b"] == step["from"]).select("x", F.col("to").alias("y")).where("x <> y")
-        fewer = cut(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        drop(edges, near)
-        edges = fewer
-        turn += 1
-        if edges.isEmpty():
-            break
-    labels = steps[0].select(F.col("from").alias("node"), F.col("to").alias("label"))
-    for step in steps[1:]:
-        labels = labels.join(step, labels["label"] == step["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
-    named = cut(labels)
-    least = named.groupBy("label").agg(F.min("node").alias("component"))
-    out = cut(named.join(least, "label").select("node", "component"))
-    drop(named, edges, *steps)
-    return out
-
-
 def _cells(table: pa.Table):
     """The rows of each cell of a pack, and their sets. Cells are hashed together up to CHUNK bytes (one at least)."""
     cell = table.column("cell").to_numpy()
