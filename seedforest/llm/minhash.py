@@ -14,7 +14,8 @@ each. Hashes of words and shingles are computed anew there and held against the
 Where the confirmed links leave a cluster in several components, more of its members may be linked with one another. Two sets of that similarity share one of
 their first n - ceil(0.75 n) + 1 shingles in any common order; the order here is the rarest first, by a count sketch of fixed size over such clusters. Only members of different
 components that share such a shingle can be linked, so what many documents have in common (a template) brings nobody together. They are grouped again by these
-shingles and held against each other, those outside a group's largest component against all, in blocks of bounded size. So no partner is capped, no link
+shingles and held against each other, those outside a group's largest component against all, in blocks of bounded size. Where a group fills more than one block, it first falls apart
+into bands of sizes near enough to be linked (each member is in two). So no partner is capped, no link
 between different texts is lost, and a large group that its hubs already hold together costs no more. The work within such a group of rare shingles is still quadratic.
 
 Components come from contracting links to the neighbour with the smallest hash of the round (the numbers of nodes fall geometrically); nothing is collected but the sketch.
@@ -26,6 +27,7 @@ read whole, in one piece (its task needs some 60 times its bytes). Other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +45,7 @@ BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
 SHINGLE = 5
 #: Most shingles and most members that a block should have (one member at least), and the shingles that a task gets together.
-BLOCK, BLOCK_MEMBERS = 150_000, 512
+BLOCK, BLOCK_MEMBERS = 300_000, 1024
 PACK = 400_000
 SKETCH_BITS = 20
 PERCENT = 75
@@ -122,7 +124,9 @@ def exact_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     buffer, offsets = text_buffer(column)
     buffer = vec.lower_table()[buffer]
     starts, ends = vec.word_spans(buffer, offsets, vec.space_table())
-    words, at = vec.word_hashes(buffer, offsets, vec.space_table())
+    at = np.searchsorted(starts, offsets)
+    parts = [vec.word_hashes(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vec.space_table())[0] for a, b in spans_of_texts(offsets, CHUNK)]
+    words = np.concatenate([np.zeros(0, np.uint64), *parts])
     sizes = ends - starts
     order = np.argsort(words, kind="stable")
     pairs = np.flatnonzero(words[order[1:]] == words[order[:-1]])
@@ -306,21 +310,28 @@ def rest_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int
     several = members.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cluster")
     split = cut(members.join(several, "cluster").select("node", "n", "label"))
     held = cut(split.join(texts, split["node"] == texts["id"]).select("node", "label", "text"))
-    near = cut(split.join(rare_groups(held, percent, shingle), "node"))
-    sizes = near.groupBy("group", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    whole = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max(F.struct("n", "rows", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    grouped = cut(split.join(rare_groups(held, percent, shingle), "node"))
+    near = grouped
     blocks = lambda n, rows: F.ceil(F.greatest(n / block, rows / BLOCK_MEMBERS)).cast("int")
-    plan = cut(whole.select("group", F.col("most.label").alias("main"), blocks(F.col("n"), F.col("rows")).alias("blocks"), blocks(F.col("n") - F.col("most.n"), F.col("rows") - F.col("most.rows")).alias("ask_blocks")))
-    near = near.join(plan, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    wide = near.groupBy("group").agg(blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks")).where("blocks > 1").select("group", F.lit(True).alias("wide"))
+    # sizes of one link are in one class or in neighbouring ones (the width has a margin for rounding); band k holds the classes k and k + 1
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
+    bands = F.when(F.coalesce("wide", F.lit(False)), F.array(size_class - 1, size_class)).otherwise(F.array(F.lit(0)))
+    near = near.join(wide, "group", "left").withColumn("band", F.explode(bands)).drop("wide")
+    key = ["group", "band"]
+    sizes = near.groupBy(*key, "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    whole = sizes.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max(F.struct("n", "rows", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    plan = cut(whole.select(*key, F.col("most.label").alias("main"), blocks(F.col("n"), F.col("rows")).alias("blocks"), blocks(F.col("n") - F.col("most.n"), F.col("rows") - F.col("most.rows")).alias("ask_blocks")))
+    near = near.join(plan, key).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     near = cut(near.withColumn("ask_block", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("node", F.lit(1)), "ask_blocks").cast("int"))))
     # a member goes to the blocks of all asking blocks, and one that asks to all other blocks as well
-    there = near.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select("node", "n", "group", "label", F.col("block").alias("b"), "q", F.coalesce(F.col("ask_block") == F.col("q"), F.lit(False)).alias("asks"))
+    there = near.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select("node", "n", *key, "label", F.col("block").alias("b"), "q", F.coalesce(F.col("ask_block") == F.col("q"), F.lit(False)).alias("asks"))
     asking = near.where("ask_block is not null and blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("b") != F.col("block"))
-    placed = cut(there.unionByName(asking.select("node", "n", "group", "label", "b", F.col("ask_block").alias("q"), F.lit(True).alias("asks"))))
+    placed = cut(there.unionByName(asking.select("node", "n", *key, "label", "b", F.col("ask_block").alias("q"), F.lit(True).alias("asks"))))
     own = held.select(F.col("node").alias("id"), "text")
-    rows = placed.withColumn("cell", F.xxhash64("group", "b", "q")).withColumn("pack", F.pmod("cell", F.lit(_packs(placed)))).join(own, placed["node"] == own["id"]).select("pack", "cell", "node", "label", "asks", "text")
+    rows = placed.withColumn("cell", F.xxhash64("group", "band", "b", "q")).withColumn("pack", F.pmod("cell", F.lit(_packs(placed)))).join(own, placed["node"] == own["id"]).select("pack", "cell", "node", "label", "asks", "text")
     links = cut(rows.groupBy("pack").applyInArrow(_match_blocks(percent), f"a {kind}, b {kind}"))
-    drop(split, held, plan, near, placed)
+    drop(split, held, grouped, plan, near, placed)
     return links
 
 
