@@ -5,7 +5,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier (in a
 Every window of LENGTH bytes names an anchor in itself: its rightmost smallest GRAM-gram by hash. Equal windows have the same anchor at the same place,
 so only windows of one anchor hash need comparing, and there is about one anchor in 40 bytes. The windows of one anchor start in a row and make up its region.
 
-1. Regions are keyed by anchor hash and region hash; among regions of one anchor only the 64 bits of the latter tell them apart, and their bytes aren't compared. All but the first of equal regions go whole. Chunks send only their own first region of a key,
+1. Regions are keyed by anchor hash and region hash; among regions of one anchor only the latter tells them apart (62 bits modulo a prime with random bases, and the region's shape), and their bytes aren't compared. All but the first of equal regions go whole. Chunks send only their own first region of a key,
    so a passage that very many documents share reaches a bucket once a chunk at most.
 2. Where an anchor hash has different regions (the edges of shared passages), the first of each is cut into blocks of OFFSETS window starts. Blocks meet by the hash of
    the bytes that all windows of a block have in common, so a common line among varied text falls apart into many groups.
@@ -14,7 +14,7 @@ so only windows of one anchor hash need comparing, and there is about one anchor
    byte. The earliest of each class stays.
 4. The ranges found are joined with the texts, which are dealt out by id once for steps 2 and 4 together.
 
-Null counts as empty; texts under LENGTH bytes lose nothing. Ids are integers (null sorts first). Rows that repeat an id and a text count as
+Null counts as empty; texts under LENGTH bytes lose nothing; a very long text is read in one piece (its task needs some 100 times its bytes). Ids are integers (null sorts first). Rows that repeat an id and a text count as
 one document and get the same result; rows of one id and different texts are ordered by the checksum of the text. Other columns aren't read. An empty
 table gives an empty table.
 """
@@ -64,7 +64,7 @@ def regions(buffer: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     new = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     first, last, anchor = starts[new], starts[np.append(new[1:], len(starts)) - 1], anchors[new]
     shape = (anchor - first).astype(_U) << _U(32) | (last - first).astype(_U)
-    return first, last, anchor, grams[anchor], vec.mix(vec.Prefix(buffer, 12).of(first, last + length) ^ vec.mix(shape + _U(1)))
+    return first, last, anchor, grams[anchor], vec.mix(vec.Fingerprint(buffer, 12).of(first, last + length) ^ vec.mix(shape + _U(1)))
 
 
 def firsts(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
@@ -263,7 +263,7 @@ def _fragments(length: int, buckets: int):
                 base = offsets[of] - offsets[a]
                 first, end, anchor = (flat.field(k).to_numpy().astype(np.int64) + base for k in range(3))
                 part = buffer[offsets[a] : offsets[b]]
-                prefix = vec.Prefix(part, 13)
+                prefix, whole_prefix = vec.Prefix(part, 13), vec.Fingerprint(part, 14)
                 low, high = anchor - (end - length), anchor - first  # window offsets before the anchor
                 pieces = []
                 for t in range(int(high.max(initial=-1)) // OFFSETS + 1):
@@ -275,7 +275,7 @@ def _fragments(length: int, buckets: int):
                 if not pieces:
                     continue
                 core, start, n, offset, of, base = (np.concatenate(x) for x in zip(*pieces, strict=True))
-                whole = vec.mix(prefix.of(start, start + n + length - 1) + vec.mix(n.astype(_U)))
+                whole = vec.mix(whole_prefix.of(start, start + n + length - 1) + vec.mix(n.astype(_U)))
                 doc, crc, place = docs[of], crcs[of], start - base
                 order = np.lexsort((place, crc, doc, offset, whole, core))
                 new = firsts(order, [core, whole, offset])
