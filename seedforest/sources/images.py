@@ -1,4 +1,4 @@
-"""Images in and out: Netpbm and PNG files, arrays, blank images. One row per image file; pixels explode from there."""
+"""Images in and out: Netpbm and PNG files, JPEG, BMP and GIF files to read, arrays, blank images. One row per image file; pixels explode from there."""
 
 from __future__ import annotations
 
@@ -27,46 +27,87 @@ def parse_netpbm(raw: bytes) -> np.ndarray | None:
     return np.frombuffer(raw, kind, rows * cols * channels, head.end()).astype(np.int32).reshape(rows, cols, channels)
 
 
+#: Fixed values of the PNG format: first column and line of each interlaced pass, and its steps.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _unfiltered(flat: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of the lines, from lines that each begin with the number of their filter."""
+    out = np.zeros((flat.shape[0], flat.shape[1] - 1), np.uint8)
+    above = np.zeros(out.shape[1], np.uint8)
+    for y, (how, line) in enumerate(zip(flat[:, 0].tolist(), flat[:, 1:], strict=True)):
+        if how == 1:
+            line = np.cumsum(line.reshape(-1, step), 0, np.uint8).reshape(-1)
+        elif how == 2:
+            line = line + above
+        elif how in (3, 4):
+            own, top = [0] * step + line.tolist(), [0] * step + above.tolist()
+            for x in range(step, len(own)):
+                left, over, corner = own[x - step], top[x], top[x - step]
+                if how == 3:
+                    guess = (left + over) // 2
+                else:
+                    whole = left + over - corner
+                    guess = min((left, over, corner), key=lambda c: abs(whole - c))
+                own[x] = (own[x] + guess) & 255
+            line = np.array(own[step:], np.uint8)
+        elif how:
+            raise ValueError("no such filter")
+        out[y] = above = line
+    return out
+
+
+def _samples(data: np.ndarray, rows: int, cols: int, channels: int, depth: int) -> np.ndarray:
+    width = (cols * channels * depth + 7) // 8
+    lines = _unfiltered(data[: rows * (width + 1)].reshape(rows, width + 1), max(1, channels * depth // 8))
+    if depth == 16:
+        lines = lines.reshape(-1).view(">u2")
+    elif depth < 8:
+        bits = np.unpackbits(lines, axis=1).reshape(rows, -1, depth)
+        lines = (bits @ (1 << np.arange(depth)[::-1]))[:, : cols * channels]
+    return lines.astype(np.int32).reshape(rows, cols, channels)
+
+
 def parse_png(raw: bytes) -> np.ndarray | None:
-    """Non-interlaced gray, gray with alpha, RGB or RGBA of 8 or 16 bits."""
+    """All kinds of PNG: gray (under 8 bits stretched to 0..255), palette (as RGB, or RGBA if it has transparent colours), RGB, and alpha, also interlaced."""
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         return None
-    at, data, head = 8, b"", None
+    at, data, chunks = 8, [], {}
     while at + 8 <= len(raw):
         size, name = struct.unpack_from(">I4s", raw, at)
-        if name == b"IHDR":
-            head = struct.unpack_from(">IIBBBBB", raw, at + 8)
-        elif name == b"IDAT":
-            data += raw[at + 8 : at + 8 + size]
+        body = raw[at + 8 : at + 8 + size]
+        if name == b"IDAT":
+            data.append(body)
+        else:
+            chunks[name] = body
         at += 12 + size
-    if head is None or head[2] not in (8, 16) or head[3] not in (0, 2, 4, 6) or head[6]:
+    if b"IHDR" not in chunks:
         return None
-    cols, rows, depth, kind = head[:4]
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}[kind]
-    step = channels * depth // 8
-    flat = np.frombuffer(zlib.decompress(data), np.uint8).reshape(rows, 1 + cols * step)
-    out = np.zeros((rows, cols * step), np.uint8)
-    above = np.zeros(cols * step, np.int32)
-    for y in range(rows):
-        line, how = flat[y, 1:].astype(np.int32), int(flat[y, 0])
-        if how == 2:
-            line = (line + above) & 255
-        elif how in (1, 3, 4):
-            for x in range(len(line)):
-                left = line[x - step] if x >= step else 0
-                corner = above[x - step] if x >= step else 0
-                if how == 1:
-                    guess = left
-                elif how == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    p = left + above[x] - corner
-                    guess = min((left, above[x], corner), key=lambda c: abs(p - c))
-                line[x] = (line[x] + guess) & 255
-        out[y], above = line, line
-    if depth == 16:
-        return out.reshape(-1).view(">u2").astype(np.int32).reshape(rows, cols, channels)
-    return out.astype(np.int32).reshape(rows, cols, channels)
+    cols, rows, depth, kind, _, _, interlaced = struct.unpack_from(">IIBBBBB", chunks[b"IHDR"])
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
+    if channels is None or depth not in (1, 2, 4, 8, 16) or (depth < 8 and kind not in (0, 3)) or (kind == 3 and (depth == 16 or b"PLTE" not in chunks)):
+        return None
+    flat = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    if interlaced:
+        out, used = np.zeros((rows, cols, channels), np.int32), 0
+        for x, y, dx, dy in PASSES:
+            n_rows, n_cols = -((y - rows) // dy), -((x - cols) // dx)
+            if n_rows > 0 and n_cols > 0:
+                out[y::dy, x::dx] = _samples(flat[used:], n_rows, n_cols, channels, depth)
+                used += n_rows * ((n_cols * channels * depth + 7) // 8 + 1)
+    else:
+        out = _samples(flat, rows, cols, channels, depth)
+    if kind == 3:
+        colours = np.frombuffer(chunks[b"PLTE"], np.uint8).reshape(-1, 3)
+        if b"tRNS" in chunks:
+            alpha = np.full(len(colours), 255, np.uint8)
+            clear = np.frombuffer(chunks[b"tRNS"], np.uint8)[: len(colours)]
+            alpha[: len(clear)] = clear
+            colours = np.column_stack([colours, alpha])
+        if out.max(initial=0) >= len(colours):
+            return None
+        return colours[out[:, :, 0]].astype(np.int32)
+    return out * (255 // ((1 << depth) - 1)) if depth < 8 else out
 
 
 def parse_image(raw: bytes) -> np.ndarray | None:
@@ -110,21 +151,48 @@ def raster_frame(files: pd.DataFrame) -> pd.DataFrame:
     return out.astype({c: "Int32" for c in ("n_rows", "n_cols", "n_channels", "norm")})
 
 
+#: Formats that Spark's own image source decodes.
+PHOTOS = ("jpg", "jpeg", "bmp", "gif")
+
+
+def read_photos(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """JPEG, BMP and GIF files below a path by Spark's image source: rows of RASTER, with nulls besides image_id where one can't be decoded."""
+    glob = pattern or "*.{" + ",".join([*PHOTOS, *map(str.upper, PHOTOS)]) + "}"
+    found = spark.read.format("image").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    photo = F.lower(F.regexp_extract("image.origin", r"([^.]*)$", 1)).isin(*PHOTOS)
+    narrow = found.where(photo).select(F.col("image.origin").alias("image_id"), F.col("image.height").alias("n_rows"), F.col("image.width").alias("n_cols"), F.col("image.nChannels").alias("n_channels"), F.col("image.data").alias("data"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, n_rows, n_cols, channels, data in frame.itertuples(index=False):
+                if n_rows <= 0:
+                    rows.append((name, *[None] * 5))
+                    continue
+                values = np.frombuffer(data, np.uint8).reshape(n_rows, n_cols, channels).astype(np.int32)
+                values[:, :, :3] = values[:, :, 2::-1] if channels > 1 else values  # stored blue first
+                rows.append((name, n_rows, n_cols, channels, 255, values.reshape(-1)))
+            out = pd.DataFrame(rows, columns=["image_id", "n_rows", "n_cols", "n_channels", "norm", "val"])
+            yield out.astype({c: "Int32" for c in ("n_rows", "n_cols", "n_channels", "norm")})
+
+    return narrow.mapInPandas(run, RASTER)
+
+
 def read_images(spark: SparkSession, path: str, pattern: str = "*", drop_invalid: bool = True, keep_invalid: bool = False) -> DataFrame:
     """Image files below a path as rows of RASTER. Undecodable files are dropped, an error, or (keep_invalid) rows with nulls besides image_id."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    photo = F.lower(F.regexp_extract("path", r"([^.]*)$", 1)).isin(*PHOTOS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = raster_frame(frame)
-            if not keep_invalid:
-                bad = made["val"].isna()
-                if bad.any() and not drop_invalid:
-                    raise ValueError(f"{made['image_id'][bad].iloc[0]} can't be decoded")
-                made = made[~bad]
-            yield made
-
-    return files.mapInPandas(run, RASTER)
+            yield raster_frame(frame)
+
+    made = files.where(~photo).mapInPandas(run, RASTER).unionByName(read_photos(spark, path, None if pattern == "*" else pattern))
+    if keep_invalid:
+        return made
+    if drop_invalid:
+        return made.where("val IS NOT NULL")
+    return made.withColumn("val", F.when(F.col("val").isNull(), F.raise_error(F.concat("image_id", F.lit(" can't be decoded"))).cast("array<int>")).otherwise(F.col("val")))
 
 
 def image_from_array(spark: SparkSession, values: np.ndarray, image_id: str = "image") -> DataFrame:
