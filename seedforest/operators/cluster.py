@@ -28,13 +28,61 @@ def sum_of_squares(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("dist").alias("ssd"))
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    """points: grp, point_id, k, v. Mean silhouette of each group over all its points (0 for a cluster of one); L2 distances within a group."""
-    other = points.select("grp", F.col("point_id").alias("o"), F.col("k").alias("ok"), F.col("v").alias("ov"))
-    pairs = points.join(other, "grp").where("point_id <> o")
-    by = pairs.groupBy("grp", "point_id", "k", "ok").agg(F.avg(F.sqrt(squared(F.col("v"), F.col("ov")))).alias("d"))
+BLOCK = 4096
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """L2 distances of all rows; pairs so close that the product form cancels are taken coordinate by coordinate."""
+    size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
+    out = size - 2 * (x @ y.T)
+    i, j = np.nonzero(out <= 1e-6 * size)
+    for at in range(0, len(i), 1 << 15):
+        k = slice(at, at + (1 << 15))
+        out[i[k], j[k]] = ((x[i[k]] - y[j[k]]) ** 2).sum(1)
+    return np.sqrt(np.maximum(out, 0))
+
+
+def _sums(points: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """For each point and each cluster of the others: how many of them have another id and a distance, and the sum of those distances."""
+    made = []
+    for length, near in others.groupby("length"):
+        own = points[points["length"] == length]
+        clusters, kind = np.unique(near["k"].to_numpy(), return_inverse=True)
+        order = np.argsort(kind, kind="stable")
+        starts = np.searchsorted(kind[order], np.arange(len(clusters)))
+        y, names = np.stack(near["v"].to_numpy())[order], near["point_id"].to_numpy()[order]
+        for at in range(0, len(own), 256):
+            part = own.iloc[at : at + 256]
+            apart = part["point_id"].to_numpy()[:, None] != names[None]
+            centre = y.mean(0)
+            d = _distances(np.stack(part["v"].to_numpy()) - centre, y - centre) * apart
+            s, n = np.add.reduceat(d, starts, axis=1), np.add.reduceat(apart.astype(np.int64), starts, axis=1)
+            i, c = np.nonzero(n)
+            made.append(part.iloc[i][["grp", "point_id", "k"]].assign(ok=clusters[c], s=s[i, c], n=n[i, c]))
+    return pd.concat(made) if made else points.iloc[:0][["grp", "point_id", "k"]].assign(ok=[], s=[], n=[])
+
+
+def _block_pair(frame: pd.DataFrame) -> pd.DataFrame:
+    left, right = (frame[frame["block"] == frame[side].iloc[0]] for side in ("one", "two"))
+    return _sums(left, left) if frame["one"].iloc[0] == frame["two"].iloc[0] else pd.concat([_sums(left, right), _sums(right, left)])
+
+
+def silhouette(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """points: grp, point_id, k, v. Mean silhouette of each group over all its points (0 for a cluster of one); L2 distances within a group.
+
+    The points of a group are dealt to blocks of about `block` by their id; each pair of blocks is a task that measures its distances as matrices and sends on only
+    sums by point and cluster, so the pairs themselves are never rows. Points whose vector is null, or holds nulls, or that have no cluster, are left out; vectors of different lengths
+    have no distance; rows of one id are one point; a group of one point has no row."""
+    whole = points.where("grp IS NOT NULL AND point_id IS NOT NULL AND k IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)").select("grp", "point_id", "k", F.col("v").cast("array<double>").alias("v"))
+    counts = whole.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = whole.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("point_id"), "blocks").cast("int")).withColumn("length", F.size("v"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    kind = {c: whole.schema[c].dataType.simpleString() for c in ("grp", "point_id", "k")}
+    sums = met.drop("blocks", "other").groupBy("grp", "one", "two").applyInPandas(_block_pair, f"grp {kind['grp']}, point_id {kind['point_id']}, k {kind['k']}, ok {kind['k']}, s double, n long")
+    by = sums.groupBy("grp", "point_id", "k", "ok").agg((F.sum("s") / F.sum("n")).alias("d"))
     each = by.groupBy("grp", "point_id").agg(F.max(F.when(F.col("k") == F.col("ok"), F.col("d"))).alias("a"), F.min(F.when(F.col("k") != F.col("ok"), F.col("d"))).alias("b"))
-    score = F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))
+    most = F.greatest("a", "b")
+    score = F.coalesce(F.when(most > 0, (F.col("b") - F.col("a")) / most), F.lit(0.0))
     return each.groupBy("grp").agg((F.sum(score) / F.count(F.lit(1))).alias("silhouette"))
 
 
