@@ -50,7 +50,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", F.size("matches").alias("n_licenses"), F.array_join(F.col("matches.template"), ",").alias("licenses"), F.array_max(F.col("matches.contained")).alias("contained"), F.array_min(F.col("matches.first_word")).alias("first_word"))
+    names = F.array_distinct("matches.template")
+    return found.select(
+        "doc_id", "n_shingles", F.size(names).alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.size("matches").alias("n_matches"), F.array_max(F.col("matches.contained")).alias("contained"),
+        F.array_min(F.col("matches.first_word")).alias("first_word"),
+    )
 
 
 def queries() -> dict:
