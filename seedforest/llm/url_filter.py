@@ -2,8 +2,9 @@
 
 A strict term rejects a URL by itself, soft terms when the weights of the distinct ones add up to
 `reject_weight`. A term counts only between boundaries: the characters beside it are not ASCII letters or digits.
+Terms are looked for in the whole url with its percent-escaped letters and digits decoded; host, path and rules take it as written.
 Null and empty URLs have an empty host and path and are allowed; repeated rows are judged one by one;
-columns of the input named like a result column are not passed on; an empty table gives an empty table.
+columns of the input named like a result column are not passed on; very long URLs are searched whole, in one pass; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,15 +22,24 @@ from .common import map_arrow
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Own vocabulary: term -> weight. Terms of STRICT_WEIGHT reject alone.
 STRICT_WEIGHT = 2.0
-VOCABULARY = {
-    "adult": 2.0, "casino": 2.0, "escort": 2.0, "gambling": 2.0, "hentai": 2.0, "nsfw": 2.0, "porn": 2.0, "porno": 2.0,
-    "sex": 2.0, "slots": 2.0, "viagra": 2.0, "warez": 2.0, "xxx": 2.0,
-    "ads": 1.0, "bet": 1.0, "bets": 1.0, "betting": 1.0, "bonus": 1.0, "cheap": 1.0, "click": 1.0, "crack": 1.0, "deal": 1.0,
-    "free": 1.0, "keygen": 1.0, "loan": 1.0, "nude": 1.0, "pills": 1.0, "poker": 1.0, "promo": 1.0, "spam": 1.0, "torrent": 1.0,
-    "track": 1.0, "tracker": 1.0, "win": 1.0, "winner": 1.0,
-}
+STRICT_TERMS = (
+    "adult bdsm blowjob bukkake camgirl camgirls camsex casino casinos cumshot deepfakes dildo ejaculation escort escorts fetish gambling gangbang "
+    "hardcore hentai livesex milf nsfw nudist onlyfans orgasm pornhub porn porno pornography redtube rule34 sex sexcam sexy shemale slots "
+    "sportsbook striptease swingers threesome upskirt viagra cialis warez xhamster xnxx xvideos xxx youporn"
+)
+SOFT_TERMS = (
+    "ads advert hardcore hookup slot affiliate backlink backlinks bet bets betting bingo blackjack bonus bonuses cheap cheats click clickbait coupon coupons crack cracked cracks "
+    "dating deal deals debt discount discounts erotic essay essays followers forex free freebies giveaway girls gamble hack hacked jackpot keygen kinky lingerie "
+    "likes loan loans lottery lotto mature meds miracle naked nude nudes nulled payday penny pharmacy pill pills pirate poker popup promo promos rapidshare refinance replica "
+    "roulette signup singles spam spin spins steroids sweepstakes teen teens tits torrent torrents track tracker tramadol unlocked uncensored webcam "
+    "weightloss win winner winners winning xanax"
+)
+VOCABULARY = dict.fromkeys(STRICT_TERMS.split(), STRICT_WEIGHT) | dict.fromkeys(SOFT_TERMS.split(), 1.0)
 REJECT_WEIGHT = 2.0
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Percent escapes of ASCII letters and digits; a term written so counts as well.
+ESCAPED = "%(3[0-9]|[46][1-9a-f]|[57][0-9a])"
+_ESCAPE = re.compile(ESCAPED)
 _HOST = re.compile(r"[^/?#]*")
 _PATH = re.compile(r"[^?#]*")
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -69,6 +79,12 @@ def automaton(vocabulary: tuple):
     return found
 
 
+def searched(url: str | None) -> str:
+    """What terms are looked up in: A-Z lower-cased, escaped letters and digits decoded once (`%2565` isn't an e)."""
+    low = (url or "").translate(_LOWER)
+    return _ESCAPE.sub(lambda m: chr(int(m[1], 16)), low).translate(_LOWER) if "%" in low else low
+
+
 def terms_in(url: str, vocabulary: tuple) -> dict[str, float]:
     """The distinct terms of a lower-cased URL that stand between boundaries."""
     out = {}
@@ -94,7 +110,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule = site_rule(host, path, by_host)
-                found = terms_in((url or "").translate(_LOWER), terms)
+                found = terms_in(searched(url), terms)
                 strict = sum(w >= STRICT_WEIGHT for w in found.values())
                 weight = float(sum(found.values()))
                 rejected = strict > 0 or weight >= reject_weight
@@ -117,8 +133,10 @@ def url_filter_sql(vocabulary=None) -> str:
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in ordered)
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low = lower.format("coalesce(url, '')")
+    decoded = f"array_to_string(list_transform(regexp_extract_all({low}, '{ESCAPED}|(?s:.)'), lambda x: CASE WHEN length(x) = 3 THEN chr(CAST('0x' || x[2:3] AS INTEGER)) ELSE x END), '')"
     return f"""
-WITH a AS (SELECT page_id, {lower.format("coalesce(url, '')")} AS u,
+WITH a AS (SELECT page_id, {lower.format(decoded)} AS u,
                   CASE WHEN url LIKE '%://%' THEN url[position('://' IN url) + 3 :] ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, u, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM a),
 c AS (SELECT page_id, u, {lower.format("raw_host")} AS host, regexp_extract(rest[length(raw_host) + 1 :], '^[^?#]*') AS path FROM b),
