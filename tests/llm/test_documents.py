@@ -1,15 +1,19 @@
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
+import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seedforest.llm import exact_dedup, licenses, minhash, mixing, sharding, suffix_dedup, telephony, toxicity, url_filter
+from seedforest.llm import exact_dedup, licenses, minhash, mixing, queries, sharding, suffix_dedup, telephony, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, source string, size string, kept int, component_id string"
 
@@ -51,6 +55,20 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_terms(spark):
+    cases = {
+        "http://a.com/%63asino": ("block", 1, 0), "http://a.com/%43ASINO": ("block", 1, 0), "http://a.com/%2563asino": ("allow", 0, 0), "http://a.com/x%20porn%20y": ("allow", 0, 0), "http://a.com/essex/sextant": ("allow", 0, 0),
+        "http://a.com/poker/bonus": ("block", 0, 2), "http://a.com/poker/poker": ("allow", 0, 1), "http://a.com/scunthorpe-analysis": ("allow", 0, 0), "http://a.com/%70%6f%72n%": ("block", 1, 0), "http://a.com/%": ("allow", 0, 0),
+        "http://a.com/" + "long-" * 200_000 + "casino": ("block", 1, 0), "http://casino.example.net/en/": ("allow", 1, 0), "http://a.com/\n%6e%73fw": ("block", 1, 0), "http://a.com/é%35": ("allow", 0, 0),
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
+    rows = {r["page_id"]: r for r in url_filter.filter_urls(pages).collect()}
+    assert {u: (rows[i]["verdict"], rows[i]["strict_terms"], rows[i]["soft_terms"]) for i, u in enumerate(cases)} == cases
+    small = duckdb.from_arrow(pa.table({"page_id": pa.array(range(len(cases))), "url": pa.array(list(cases))}))
+    found = small.query("pages", url_filter.url_filter_sql()).fetchall()
+    assert sorted(found) == sorted(tuple(r) for r in rows.values())
+
+
 @pytest.mark.parametrize("options", [{"digest_all": True}, {}])
 def test_exact_dedup(spark, texts, options):
     rows = exact_dedup.exact_dedup(table(spark, texts), **options).collect()
@@ -292,6 +310,25 @@ def test_licenses(spark):
     assert licenses.find_licenses(table(spark, [])).count() == 0
 
 
+def occurrences(text: bytes, templates: dict[str, str]) -> list[tuple[str, int, float]]:
+    """What a scan gives, from sets of words at every window."""
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text))
+    own = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    out = []
+    for name, form in sorted(templates.items()):
+        parts = re.findall(rb"[a-z0-9]+", form.lower().encode())
+        wanted = {tuple(parts[k : k + 5]) for k in range(len(parts) - 4)}
+        m = len(wanted)
+        found = [(len(wanted & set(own[k : k + math.ceil(1.25 * m)])), k) for k in range(0, len(own), max(1, m // 4))]
+        left, taken = [x for x in found if x[0] >= 0.75 * m], []
+        while left:
+            best = max(left, key=lambda x: (x[0], -x[1]))
+            taken.append(best)
+            left = [x for x in left if abs(x[1] - best[1]) >= max(2, min(m, 4 * max(1, m // 4)))]
+        out += [(name, k, n / m) for n, k in sorted(taken, key=lambda x: x[1])]
+    return out
+
+
 def test_licenses_against_all_windows():
     rng = random.Random(4)
     pieces = [w for t in licenses.TEMPLATES.values() for w in t.split()]
@@ -305,7 +342,31 @@ def test_licenses_against_all_windows():
     known = [licenses.Template(n, t) for n, t in sorted(licenses.TEMPLATES.items())]
     hashes, at = licenses.shingles_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
     found = licenses.scan(hashes, at, known)
-    assert found == licenses.brute_force(hashes, at, known) and sum(map(len, found)) > 20
+    assert found == [occurrences(t, licenses.TEMPLATES) for t in texts] and sum(map(len, found)) > 20
+
+
+@pytest.mark.parametrize("name", ["MIT", "Zlib", "GPL-3.0-short", "BSD-disclaimer"])
+def test_every_occurrence_of_a_license(spark, name):
+    notice, filler = licenses.TEMPLATES[name], " and now for something else " * 40
+    docs = table(spark, [(1, filler.join([notice] * 4)), (2, " ".join([notice] * 3)), (3, (filler + notice) * 300), (1, filler.join([notice] * 4))])
+    rows = licenses.find_licenses(docs).collect()
+    counts = [(r["doc_id"], sum(m["template"] == name and m["contained"] == 1.0 for m in r["matches"])) for r in rows]
+    assert sorted(counts) == [(1, 4), (1, 4), (2, 3), (3, 300)]
+
+
+def test_license_query_against_sets_of_words(spark, tmp_path):
+    names = sorted(licenses.TEMPLATES)
+    rng = random.Random(8)
+    texts = [None, "", "one two", *(" ".join(rng.choice([sentences(rng, 40), licenses.TEMPLATES[rng.choice(names)]]) for _ in range(rng.randint(1, 5))) for _ in range(40))]
+    table(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op10_licenses(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        want = occurrences((t or "").encode(), licenses.TEMPLATES)
+        kinds = list(dict.fromkeys(n for n, _, _ in want))
+        r = rows[i]
+        assert (r["n_licenses"], r["licenses"], r["n_matches"]) == (len(kinds), ",".join(kinds), len(want)), i
+        assert (r["contained"], r["first_word"]) == ((max(c for *_, c in want), min(k for _, k, _ in want)) if want else (None, None)), i
 
 
 def test_automaton_matches_edit_distance():
