@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, drop  # noqa: F401  for the operators
+from . import vec
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +66,7 @@ def unused(columns: list[str], *names: str) -> list[str]:
 
 def release() -> None:
     """Gives memory that a Python worker has freed back to the system: the worker lives on, and its next tasks have other shapes."""
+    vec.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -73,8 +75,16 @@ def release() -> None:
         pass
 
 
+#: Bytes of an Arrow batch (one row at least). Spark's own bound, 64 MB, is met in the JVM and in the worker, for each task and in both directions.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow, after which the worker gives its memory back."""
+    """mapInArrow over batches of BATCH_BYTES, after which the worker gives its memory back. Lower bounds that the session has already stay."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "67108864b":
+        conf.set(BATCH, BATCH_BYTES)
 
     def whole(batches):
         try:

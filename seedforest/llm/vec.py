@@ -26,6 +26,12 @@ def _series(factor: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def forget() -> None:
+    """Drops the powers kept; they are made again as needed."""
+    _powers.clear()
+    _prime_powers.clear()
+
+
 def byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=_U)
 
