@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, minhash, mixing, pieces, sharding, suffix_dedup, telephony, toxicity, url_filter
+from . import exact_dedup, filter_audit, licenses, minhash, mixing, pieces, sharding, suffix_dedup, telephony, toxicity, url_filter
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_minhash": op9_minhash,
         "op10_licenses": op10_licenses,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
@@ -78,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.mixing_sql(),
         "op6_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
         "op9_minhash": minhash.NEAR_DEDUP_SQL,
+        "op11_filter_audit": filter_audit.AUDIT_SQL,
     }
