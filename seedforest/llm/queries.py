@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, licenses, minhash, mixing, pieces, sharding, suffix_dedup, telephony, toxicity, url_filter
+from . import exact_dedup, filter_audit, licenses, minhash, mixing, pieces, sharding, spelling, suffix_dedup, telephony, toxicity, url_filter
 from .common import read
 
 
@@ -61,6 +61,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -74,6 +78,7 @@ def queries() -> dict:
         "op9_minhash": op9_minhash,
         "op10_licenses": op10_licenses,
         "op11_filter_audit": op11_filter_audit,
+        "op12_spelling": op12_spelling,
     }
 
 
@@ -84,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
         "op9_minhash": minhash.NEAR_DEDUP_SQL,
         "op11_filter_audit": filter_audit.AUDIT_SQL,
+        "op12_spelling": spelling.SPELLING_SQL,
     }
