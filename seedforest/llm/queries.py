@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, licenses, minhash, mixing, pieces, sharding, spelling, suffix_dedup, telephony, toxicity, url_filter
+from . import exact_dedup, filter_audit, licenses, minhash, mixing, ngram_join, pieces, sharding, spelling, suffix_dedup, telephony, toxicity, url_filter
 from .common import read
 
 
@@ -65,6 +65,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(read(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -79,6 +83,7 @@ def queries() -> dict:
         "op10_licenses": op10_licenses,
         "op11_filter_audit": op11_filter_audit,
         "op12_spelling": op12_spelling,
+        "op13_ngram_join": op13_ngram_join,
     }
 
 
@@ -90,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_minhash": minhash.NEAR_DEDUP_SQL,
         "op11_filter_audit": filter_audit.AUDIT_SQL,
         "op12_spelling": spelling.SPELLING_SQL,
+        "op13_ngram_join": ngram_join.NGRAM_JOIN_SQL,
     }
