@@ -1,115 +1,101 @@
-"""Watershed hierarchies by area, volume or dynamics, and labels from markers. One task per image.
+"""Watershed hierarchies by area, volume or dynamics, their saliency maps, and labels from markers, as tables (see hierarchy.py): an image of any size is spread over many tasks.
 
-Edges of the 4-adjacency graph are merged from light to heavy; when two regions meet, the smaller of their attributes is the height at which the
-boundary between them vanishes. The reference takes its edge response from a trained detector and its hierarchies from a library, neither of
+The edges of the 4-adjacency graph, from light to heavy, make regions meet; the smaller of their attributes is the height at which the boundary between them vanishes. The
+saliency of any edge of the graph is the largest height on the way between its pixels in the spanning tree. Edges of one weight or height come in the order of their pixels.
+
+The reference takes its edge response from a trained detector and its hierarchies from a library, neither of
 which ships with it; here the response is the pixel gradient, so results are approximate by nature.
+
+Pixels that come twice count once (the smaller value); a null value makes infinitely heavy edges; parts of an image that no edge joins have hierarchies of their own. Pixels
+of an image without object markers are all background; without background markers all that can be reached is object. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ATTRIBUTES = ("area", "volume", "dynamics")
-WEIGHTS = {
-    "l0": lambda a, b: (a != b).astype(float), "l1": lambda a, b: np.abs(a - b), "l2": lambda a, b: np.abs(a - b), "l2_squared": lambda a, b: (a - b) ** 2, "l_infinity": lambda a, b: np.abs(a - b),
-    "max": np.maximum, "min": np.minimum, "mean": lambda a, b: (a + b) / 2,
-}
-
-
-def image_edges(rows: int, cols: int) -> np.ndarray:
-    idx = np.arange(rows * cols).reshape(rows, cols)
-    return np.concatenate([np.stack([idx[:, :-1].ravel(), idx[:, 1:].ravel()], 1), np.stack([idx[:-1].ravel(), idx[1:].ravel()], 1)])
-
-
-class Sets:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, a: int) -> int:
-        while self.up[a] != a:
-            self.up[a] = self.up[self.up[a]]
-            a = self.up[a]
-        return a
-
-
-def hierarchy(n: int, edges: np.ndarray, weight: np.ndarray, attribute: str) -> tuple[np.ndarray, np.ndarray]:
-    """The minimum spanning tree's edges and the attribute height of each."""
-    if attribute not in ATTRIBUTES:
-        raise ValueError(f"attribute must be one of {ATTRIBUTES}")
-    sets = Sets(n)
-    area, volume = [1] * n, [0.0] * n
-    low = [np.inf] * n  # smallest weight inside a region; a pixel alone has none
-    last = [0.0] * n
-    tree, height = [], []
-    for e in np.argsort(weight, kind="stable"):
-        a, b, w = sets.find(int(edges[e, 0])), sets.find(int(edges[e, 1])), float(weight[e])
-        if a == b:
-            continue
-        grown = [volume[r] + area[r] * (w - last[r]) for r in (a, b)]
-        value = {"area": lambda: min(area[a], area[b]), "volume": lambda: min(grown), "dynamics": lambda: min(w - min(low[a], w), w - min(low[b], w))}[attribute]()
-        tree.append(e)
-        height.append(value)
-        sets.up[b] = a
-        area[a], volume[a], last[a], low[a] = area[a] + area[b], sum(grown), w, min(low[a], low[b], w)
-    return np.array(tree, int), np.array(height, float)
-
-
-def marker_labels(n: int, edges: np.ndarray, tree: np.ndarray, height: np.ndarray, objects: list[int], background: list[int]) -> np.ndarray:
-    """1 where the object marker is met below the background marker in the hierarchy, else 2."""
-    sets, mark = Sets(n), {**{p: 2 for p in background}, **{p: 1 for p in objects}}
-    label = np.zeros(n, np.int32)
-    members = [[p] for p in range(n)]
-    kind = [mark.get(p, 0) for p in range(n)]
-    for k in np.argsort(height, kind="stable"):
-        a, b = sets.find(int(edges[tree[k], 0])), sets.find(int(edges[tree[k], 1]))
-        if kind[a] and kind[b] and kind[a] != kind[b]:
-            for r in (a, b):
-                label[members[r]] = np.where(label[members[r]] == 0, kind[r], label[members[r]])
-                members[r] = []
-        if len(members[a]) < len(members[b]):
-            a, b = b, a
-        sets.up[b] = a
-        kind[a] = kind[a] or kind[b]
-        members[a] += members[b]
-        members[b] = []
-    for r in {sets.find(p) for p in range(n)}:
-        rest = [p for p in members[r] if label[p] == 0]
-        label[rest] = kind[r] if kind[r] else 2
-    label[label == 0] = 2
-    return label
-
-
-def saliency(n: int, edges: np.ndarray, tree: np.ndarray, height: np.ndarray) -> np.ndarray:
-    """Per pixel 255 (1 - sqrt of the largest height at its edges over the largest of all)."""
-    out = np.zeros(n)
-    for side in (0, 1):
-        np.maximum.at(out, edges[tree, side], height)
-    return 255 * (1 - np.sqrt(out / max(out.max(initial=0), 1e-300)))
-
-
-def stamped(points: list[tuple[int, int]], rows: int, cols: int) -> list[int]:
-    """The 2 by 2 block up and left of each marker pixel; nothing where it would leave the image."""
-    return sorted({v * cols + u for x, y in points if x > 0 and y > 0 for v in (y - 1, y) for u in (x - 1, x) if v < rows and u < cols})
+from ..plans.lineage import cut, drop
+from .hierarchy import ATTRIBUTES, boruvka, bottlenecks, heights, marker_reach
+from .stencil import EDGE_WEIGHTS, edge_graph, edge_weights
+
+OBJECT, BACKGROUND = 1, 2
+
+
+def graph(pixels: DataFrame, weight: str = "l1") -> DataFrame:
+    """pixels: image_id, x, y, v. Returns the 4-adjacency graph: image_id, a, b, weight, and x, y of a and whether b is to its right. Pixels are numbered along the lines."""
+    if weight not in EDGE_WEIGHTS:
+        raise ValueError("unknown weight")
+    once = pixels.groupBy("image_id", "x", "y").agg(F.min(F.col("v").cast("double")).alias("v"))
+    wide = once.groupBy("image_id").agg((F.max("x") + 1).alias("cols"))
+    placed = once.join(wide, "image_id").withColumn("idx", (F.col("y") * F.col("cols") + F.col("x")).cast("long"))
+    edges = edge_graph(placed.withColumn("v", F.struct("v", "x", "y", "cols")), "v")
+    weighed = edge_weights(edges.select("image_id", "a", "b", F.col("va.v").alias("va"), F.col("vb.v").alias("vb"), F.col("va.x").alias("x"), F.col("va.y").alias("y"), (F.col("va.y") == F.col("vb.y")).alias("right")), weight)
+    return weighed.select("image_id", "a", "b", F.coalesce("weight", F.lit(float("inf"))).alias("weight"), "x", "y", "right")
+
+
+def watershed_tree(pixels: DataFrame, attribute: str = "area", weight: str = "l1") -> DataFrame:
+    """The hierarchy: image_id, a, b, weight, height of the minimum spanning forest's edges."""
+    regions = boruvka(graph(pixels, weight).select("image_id", "a", "b", "weight"))
+    out = heights(regions, attribute)
+    regions.drop()
+    return out
+
+
+def edge_saliency(tree: DataFrame, edges: DataFrame) -> DataFrame:
+    """tree: watershed_tree(). edges with image_id, a, b. Adds saliency: the height at which the two pixels become one region."""
+    regions = boruvka(tree.select("image_id", "a", "b", F.col("height").alias("weight")))
+    found = bottlenecks(regions, edges.select("image_id", "a", "b").distinct())
+    regions.drop()
+    return edges.join(found.select("image_id", "a", "b", F.col("edge.weight").alias("saliency")), ["image_id", "a", "b"])
+
+
+def saliency_map(tree: DataFrame, edges: DataFrame, pixels: DataFrame) -> DataFrame:
+    """image_id, x, y, saliency: of the four pixels around the lower right corner of each pixel the largest edge saliency, as 255 (1 - sqrt(s / largest of the image)); the last line and
+    column repeat the ones before. 255 everywhere where nothing stands out."""
+    salient = edge_saliency(tree, edges)
+    beside = F.when(F.col("right"), F.struct("x", (F.col("y") - 1).alias("y"))).otherwise(F.struct((F.col("x") - 1).alias("x"), "y"))
+    corners = salient.select("image_id", F.explode(F.array(F.struct("x", "y"), beside)).alias("c"), "saliency").where("c.x >= 0 and c.y >= 0")
+    corners = cut(corners.groupBy("image_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy")).agg(F.max("saliency").alias("s")))
+    size = pixels.groupBy("image_id").agg(F.max("x").alias("last_x"), F.max("y").alias("last_y"))
+    inner = corners.join(size, "image_id").where((F.col("cx") <= F.greatest(F.col("last_x") - 1, F.lit(0))) & (F.col("cy") <= F.greatest(F.col("last_y") - 1, F.lit(0))))
+    most = inner.groupBy("image_id").agg(F.max("s").alias("most"))
+    at = lambda c: F.least(F.col(c), F.greatest(F.col(f"last_{c}") - 1, F.lit(0))).alias(f"c{c}")
+    placed = pixels.select("image_id", "x", "y").distinct().join(size, "image_id").select("image_id", "x", "y", at("x"), at("y"))
+    met = placed.join(corners, ["image_id", "cx", "cy"], "left").join(most, "image_id", "left")
+    return met.select("image_id", "x", "y", (255 * (1 - F.when(F.col("most") > 0, F.sqrt(F.col("s") / F.col("most"))).otherwise(0.0))).alias("saliency"))
+
+
+def stamped(scribbles: DataFrame) -> DataFrame:
+    """image_id, x, y, is_object: the 2 by 2 block up and left of each scribble pixel; none where it would leave the image."""
+    block = F.explode(F.array(*[F.struct((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y")) for dy in (1, 0) for dx in (1, 0)]))
+    return scribbles.where("x > 0 and y > 0").select("image_id", block.alias("p"), "is_object").select("image_id", "p.x", "p.y", "is_object").distinct()
+
+
+def marker_labels(tree: DataFrame, pixels: DataFrame, scribbles: DataFrame) -> DataFrame:
+    """image_id, x, y, label. A pixel is object (1) if the smallest region of the hierarchy that holds it and object marks holds no background mark; else background (2)."""
+    wide = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("cols"))
+    placed = cut(pixels.select("image_id", "x", "y").distinct().join(wide, "image_id").withColumn("node", (F.col("y") * F.col("cols") + F.col("x")).cast("long")))
+    marked = placed.join(stamped(scribbles), ["image_id", "x", "y"]).select("image_id", "node", F.col("is_object").alias("kind"))
+    regions = boruvka(tree.select("image_id", "a", "b", F.col("height").alias("weight")))
+    reach = marker_reach(regions, placed.select("image_id", "node"), marked)
+    regions.drop()
+    sides = reach.groupBy("image_id", "node").agg(F.max(F.when(F.col("kind"), F.col("reach"))).alias("o"), F.max(F.when(~F.col("kind"), F.col("reach"))).alias("b"))
+    inside = F.col("o").isNotNull() & (F.col("b").isNull() | (F.col("o") < F.col("b")))
+    return placed.join(sides, ["image_id", "node"], "left").select("image_id", "x", "y", F.when(inside, OBJECT).otherwise(BACKGROUND).alias("label"))
 
 
 def watershed(pixels: DataFrame, scribbles: DataFrame, attribute: str = "area", weight: str = "l1") -> DataFrame:
     """pixels: image_id, x, y, v (edge response). scribbles with is_object. Returns image_id, idx, label, saliency."""
-    if attribute not in ATTRIBUTES or weight not in WEIGHTS:
-        raise ValueError("unknown attribute or weight")
-    kind = pixels.schema["image_id"].dataType.simpleString()
-    marks = scribbles.select("image_id", "x", "y", "is_object")
-
-    def run(key, image: pd.DataFrame, marker: pd.DataFrame) -> pd.DataFrame:
-        if image.empty:
-            return pd.DataFrame({"image_id": [], "idx": [], "label": [], "saliency": []})
-        image = image.sort_values(["y", "x"])
-        rows, cols = int(image["y"].max()) + 1, int(image["x"].max()) + 1
-        v, edges = image["v"].to_numpy(float), image_edges(rows, cols)
-        tree, height = hierarchy(rows * cols, edges, WEIGHTS[weight](v[edges[:, 0]], v[edges[:, 1]]), attribute)
-        of = {o: stamped(list(marker.loc[marker["is_object"] == o, ["x", "y"]].itertuples(index=False, name=None)), rows, cols) for o in (True, False)}
-        return pd.DataFrame({"image_id": key[0], "idx": np.arange(rows * cols), "label": marker_labels(rows * cols, edges, tree, height, of[True], of[False]), "saliency": saliency(rows * cols, edges, tree, height)})
-
-    return pixels.select("image_id", "x", "y", F.col("v").cast("double").alias("v")).groupBy("image_id").cogroup(marks.groupBy("image_id")).applyInPandas(run, f"image_id {kind}, idx long, label int, saliency double")
+    if attribute not in ATTRIBUTES:
+        raise ValueError("unknown attribute")
+    pixels = cut(pixels.select("image_id", "x", "y", "v"))
+    edges = cut(graph(pixels, weight))
+    regions = boruvka(edges.select("image_id", "a", "b", "weight"))
+    tree = heights(regions, attribute)
+    regions.drop()
+    labels, seen = marker_labels(tree, pixels, scribbles), saliency_map(tree, edges, pixels)
+    wide = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("cols"))
+    out = cut(labels.join(seen, ["image_id", "x", "y"]).join(wide, "image_id").select("image_id", (F.col("y") * F.col("cols") + F.col("x")).cast("long").alias("idx"), "label", "saliency"))
+    drop(pixels, edges, tree)
+    return out

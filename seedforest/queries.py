@@ -555,10 +555,32 @@ _segmentation("relevance", 2)
 _segmentation("superpixel", 2)
 
 
+def _response(spark, sf):
+    return c.graded(spark, sf).select("image_id", "x", "y", F.col("grad").alias("v"))
+
+
+# edges in the order of weight and pixels, without the last of each square (no spanning tree has it); then one edge after the other, with the region of each pixel as a list
+_MERGED = f"""ed AS MATERIALIZED (SELECT p.image_id, p.x, p.y, q.y = p.y AS across, p.idx AS a, q.idx AS b, abs(p.grad - q.grad) AS w FROM gr p JOIN gr q ON p.image_id = q.image_id AND q.y = p.y AND q.x = p.x + 1
+    UNION ALL SELECT p.image_id, p.x, p.y, false, p.idx, q.idx, abs(p.grad - q.grad) FROM gr p JOIN gr q ON p.image_id = q.image_id AND q.x = p.x AND q.y = p.y + 1),
+sq AS MATERIALIZED (SELECT u.image_id, greatest((u.w, u.a, u.b), (d.w, d.a, d.b), (l.w, l.a, l.b), (r.w, r.a, r.b)) AS last FROM ed u JOIN ed d ON d.image_id = u.image_id AND d.across AND d.x = u.x AND d.y = u.y + 1
+    JOIN ed l ON l.image_id = u.image_id AND NOT l.across AND l.x = u.x AND l.y = u.y JOIN ed r ON r.image_id = u.image_id AND NOT r.across AND r.x = u.x + 1 AND r.y = u.y WHERE u.across),
+ord AS MATERIALIZED (SELECT image_id, a, b, w, CAST(row_number() OVER (PARTITION BY image_id ORDER BY w, a, b) AS INT) AS n FROM ed WHERE NOT EXISTS (SELECT 1 FROM sq WHERE sq.image_id = ed.image_id AND sq.last = (ed.w, ed.a, ed.b))),
+k(image_id, n, part, tree) USING KEY (image_id) AS (SELECT DISTINCT image_id, 0, range({c.ROWS * c.COLS}), []::STRUCT(n INT, size BIGINT)[] FROM ord
+    UNION SELECT image_id, n, CASE WHEN pa = pb THEN part ELSE list_transform(part, lambda i: CASE WHEN i = pb THEN pa ELSE i END) END,
+        CASE WHEN pa = pb THEN tree ELSE tree || [{{'n': n, 'size': least(len(list_filter(part, lambda i: i = pa)), len(list_filter(part, lambda i: i = pb)))::BIGINT}}] END
+    FROM (SELECT k.image_id, ord.n, part, tree, part[a + 1] AS pa, part[b + 1] AS pb FROM k JOIN ord ON ord.image_id = k.image_id AND ord.n = k.n + 1))"""
+
+
+@query(sql(f"SELECT ord.image_id, a, b, {r6('w')} AS weight, CAST(t.size AS DOUBLE) AS height FROM (SELECT image_id, unnest(tree) AS t FROM k) u JOIN ord ON ord.image_id = u.image_id AND ord.n = t.n", "gr", recursive=_MERGED))
+def watershed_tree(spark, sf):
+    """The hierarchy by area: spanning tree and heights."""
+    return rounded(watershed.watershed_tree(_response(spark, sf)), "weight")
+
+
 def _watershed(attribute: str):
     @query(name=f"watershed_{attribute}")
     def run(spark, sf):
-        return watershed.watershed(c.graded(spark, sf).select("image_id", "x", "y", F.col("grad").alias("v")), c.scribbles(spark, sf), attribute)
+        return rounded(watershed.watershed(_response(spark, sf), c.scribbles(spark, sf), attribute), "saliency")
 
 
 for _attribute in watershed.ATTRIBUTES:

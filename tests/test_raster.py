@@ -217,7 +217,6 @@ def test_watershed_finds_the_square(spark):
     for attribute in watershed.ATTRIBUTES:
         image = images.to_array(watershed.watershed(pix, marks, attribute).withColumns({"x": F.col("idx") % 20, "y": F.floor(F.col("idx") / 20)}))
         assert (image[6:14, 6:14] == 1).all() and image[0, 0] == 2, attribute
-    assert watershed.stamped([(0, 3), (2, 2)], 5, 5) == [6, 7, 11, 12]
 
 
 def test_streamed_segmentation(spark, tmp_path):
