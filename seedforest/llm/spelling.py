@@ -4,8 +4,8 @@ A word of n letters has n - 1 bigrams, each with its position. One inserted, del
 position at most, without changing their order. Bigrams are ordered by how many places of the vocabulary they have, the rarest first (then by letters, then by position), the same way for all
 words. Of two words one edit apart, the first bigram in that order which the edit leaves alone stands behind two touched ones at most, in either word. So it is
 among the three rarest of both: words are joined on their three rarest bigrams only, with equal positions where lengths are equal and with equal or neighbouring ones where lengths
-differ by one. The edit also leaves the first or the second half of the shorter word alone, so this half is part of the key, which keeps keys small however many words there are. What
-the join meets is verified by edit distance inside the join, so that pairs which fail are never rows.
+differ by one. The edit also lies in one third of the word (of the shorter one), and the letters outside this third are part of the key, which keeps keys small however many words
+there are. What the join meets is verified by edit distance inside the join, so that pairs which fail are never rows.
 
 The table of bigram counts is the only thing broadcast: 90 letters make 8,100 rows at most, whatever the corpus. A bigram, position and length that very many words have
 among their rarest make a large key; Spark splits it as a skewed join, and only verified pairs leave it, once each after a distinct.
@@ -18,6 +18,8 @@ read whole. Columns other than those named aren't read. An empty table, or one w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .common import ascii_lower, cut, drop
 
 LEAST_LETTERS, LEAST_TIMES, TIMES, ONE_IN = 7, 2, 10, 31
 LETTERS = "a-zÀ-ÿ"
-PREFIX = 3
+PREFIX, PARTS = 3, 3
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_letters: int = LEAST_LETTERS, least_times: int = LEAST_TIMES, one_in: int = ONE_IN) -> DataFrame:
@@ -48,30 +50,30 @@ def rarest_bigrams(words: DataFrame, most: int = PREFIX) -> DataFrame:
     return ranked.select("word", "n", "size", F.explode("rarest").alias("r")).select("word", "n", "size", "r.gram", "r.pos")
 
 
-def _part(size, first) -> Column:
-    """The first half, or what is behind the first half, of a word as it stands against words of `size` letters."""
-    half = F.floor(size / 2).cast("int")
-    return F.when(first, F.substring("word", F.lit(1), half)).otherwise(F.substring("word", F.col("size") - size + half + 1, size - half))
-
-
 def near_words(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: each pair of words one edit apart once (of one length: a first in code point order; else a is the longer one)."""
     rare = cut(rarest_bigrams(words))
 
-    def keyed(ways: list[tuple], word: str, n: str) -> DataFrame:
-        """One row for each way (moved, shorter, first, when): the bigram `moved` places to the left, in a word of `shorter` letters less whose first or second half is the same."""
-        key = lambda moved, shorter, first: F.xxhash64("gram", F.col("pos") - moved, F.col("size") - shorter, F.lit(first), _part(F.col("size") - shorter, F.lit(first)))
-        keys = F.filter(F.array(*[F.when(when, key(*way)) for *way, when in ways]), lambda k: k.isNotNull())
-        return rare.select(F.col("word").alias(word), F.col("n").alias(n), F.col("size").alias(f"size_{word}"), F.explode(keys).alias("key"))
-
-    always = F.lit(True)
-    half = F.floor((F.col("size") - 1) / 2)
-    early, late = F.col("pos") + 1 < half, F.col("pos") > half  # bigrams (from 0) inside a half of the longer word stay, or move, with it
-    there = keyed([(0, 0, True, always), (0, 0, False, always)], "b", "n_b")
-    longer = [(0, 1, True, always), (1, 1, False, always), (1, 1, True, ~early), (0, 1, False, ~late)]
-    asking = keyed([(0, 0, True, always), (0, 0, False, always), *longer], "a", "n_a").withColumnRenamed("key", "asked")
+    def keyed(word: str, n: str, key: str, part: int, shorter: int, moved: int, when: Column) -> DataFrame:
+        """The rarest bigrams as they stand, `moved` places to the left, in a word of `shorter` letters less, and that word's letters outside one part."""
+        size = F.col("size") - shorter
+        outside = F.concat(F.substring("word", F.lit(1), _bound(size, part)), F.lit(" "), F.substring("word", F.col("size") - size + _bound(size, part + 1) + 1, size))
+        return rare.where(when).select(F.col("word").alias(word), F.col("n").alias(n), F.col("size").alias(f"size_{word}"), F.xxhash64("gram", F.col("pos") - moved, size, F.lit(part), outside).alias(key))
+
+    there, asking = [], []
+    for part in range(PARTS):
+        there.append(keyed("b", "n_b", "key", part, 0, 0, F.lit(True)))
+        asking.append(keyed("a", "n_a", "asked", part, 0, 0, F.lit(True)))
+        # the letter too many is behind the bigram, which stays, or before it
+        asking.append(keyed("a", "n_a", "asked", part, 1, 0, F.col("pos") + 1 < _bound(F.col("size") - 1, part + 1)))
+        asking.append(keyed("a", "n_a", "asked", part, 1, 1, F.col("pos") > _bound(F.col("size") - 1, part)))
     close = ((F.col("size_a") > F.col("size_b")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
-    return asking.join(there, (F.col("asked") == F.col("key")) & close).select("a", "n_a", "b", "n_b").distinct()
+    return reduce(DataFrame.unionAll, asking).join(reduce(DataFrame.unionAll, there), (F.col("asked") == F.col("key")) & close).select("a", "n_a", "b", "n_b").distinct()
+
+
+def _bound(size: Column, part: int) -> Column:
+    """Where a part of a word begins (from 0)."""
+    return F.floor(size * part / PARTS).cast("int")
 
 
 def roots(forms: DataFrame) -> DataFrame:
