@@ -12,8 +12,9 @@ XYZ = (
     (0.01929721549174694484, 0.1191838645808485318, 0.9504971251315797660),
 )
 WHITE = (0.950456, 1.0, 1.088754)
-#: Own palette of ten colours for labels.
-PALETTE = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
+#: The ten colours of labels, red, green and blue.
+COLORS = ((0, 0, 255), (255, 0, 0), (0, 255, 0), (255, 0, 255), (255, 255, 0), (0, 255, 255), (128, 255, 0), (128, 0, 255), (255, 0, 128), (255, 128, 0))
+PALETTE = tuple("#{:02x}{:02x}{:02x}".format(*c) for c in COLORS)
 
 
 def _number(x: float) -> str:

@@ -47,8 +47,9 @@ def scribble_overlay(value: dict[str, Column], is_object: Column) -> dict[str, C
     return {c: F.when(is_object.isNull(), v).when(lit[c], F.lit(255)).otherwise(F.lit(0)).cast("int") for c, v in value.items()}
 
 
-def safe_int(text: Column, default: int) -> Column:
-    return F.coalesce(F.expr("try_cast(x AS int)") if isinstance(text, str) else text.try_cast("int"), F.lit(default))
+def safe_int(text: Column | str, default: int) -> Column:
+    """The whole number that a column, or the column of a name, spells, else the default."""
+    return F.coalesce((F.col(text) if isinstance(text, str) else text).try_cast("int"), F.lit(default))
 
 
 def clamp(value: Column, low, high) -> Column:

@@ -32,7 +32,8 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.floor(F.col("vec_id") / 3)
     channel = {c: F.max(F.when(F.col("vec_id") % 3 == k, F.col("embedding"))).alias(c) for k, c in enumerate("rgb")}
-    lines = embeddings(spark, sf_dir).groupBy(line.alias("line")).agg(*channel.values()).where("r is not null and g is not null and b is not null")
+    lines = embeddings(spark, sf_dir).groupBy(line.alias("line")).agg(*channel.values()).where("r is not null")
+    lines = lines.select("line", "r", F.coalesce("g", "r").alias("g"), F.coalesce("b", "g", "r").alias("b"))  # of the last line's channels some may be missing
     flat = lines.select("line", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "p"))
     out = flat.select(F.floor(F.col("line") / ROWS).cast("int").alias("image_id"), "x", (F.col("line") % ROWS).cast("int").alias("y"), *[_level(F.col(f"p.{c}")).alias(c) for c in "rgb"])
     return out.withColumn("idx", (F.col("y") * COLS + F.col("x")).cast("long"))

@@ -48,9 +48,9 @@ _level = lambda e: f"CAST(round(least(greatest(({e}::DOUBLE + 1) * 127.5, 0), 25
 PARTS = {
     "g": ("", f"SELECT CAST(vec_id // {c.ROWS} AS INT) AS image_id, CAST(p AS INT) AS x, CAST(vec_id % {c.ROWS} AS INT) AS y, CAST((vec_id % {c.ROWS}) * {c.COLS} + p AS BIGINT) AS idx, {_level('embedding[p + 1]')} AS v FROM embeddings, range({c.COLS}) t(p)"),
     "im": ("", f"SELECT DISTINCT CAST(vec_id // {c.ROWS} AS INT) AS image_id FROM embeddings"),
-    "rgb": ("", f"""SELECT CAST(line // {c.ROWS} AS INT) AS image_id, CAST(p AS INT) AS x, CAST(line % {c.ROWS} AS INT) AS y, CAST((line % {c.ROWS}) * {c.COLS} + p AS BIGINT) AS idx, r, g, b FROM (
+    "rgb": ("", f"""SELECT CAST(line // {c.ROWS} AS INT) AS image_id, CAST(p AS INT) AS x, CAST(line % {c.ROWS} AS INT) AS y, CAST((line % {c.ROWS}) * {c.COLS} + p AS BIGINT) AS idx, r, coalesce(g, r) AS g, coalesce(b, g, r) AS b FROM (
         SELECT vec_id // 3 AS line, p, max(CASE vec_id % 3 WHEN 0 THEN {_level('embedding[p + 1]')} END) AS r, max(CASE vec_id % 3 WHEN 1 THEN {_level('embedding[p + 1]')} END) AS g, max(CASE vec_id % 3 WHEN 2 THEN {_level('embedding[p + 1]')} END) AS b
-        FROM embeddings, range({c.COLS}) t(p) GROUP BY ALL) WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL"""),
+        FROM embeddings, range({c.COLS}) t(p) GROUP BY ALL) WHERE r IS NOT NULL"""),
     "lab": ("g", f"SELECT *, {_LAB['l']} AS l, {_LAB['a']} AS a, {_LAB['b_']} AS b_ FROM g"),
     "o8": ("", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {dx}, {dy}, {w!r}::DOUBLE)" for k, ((dx, dy), w) in enumerate(zip(stencil.EIGHT, _W, strict=True))) + ") t(k, dx, dy, w)"),
     "gr": ("lab o8", "SELECT p.image_id, p.x, p.y, p.idx, p.v, p.l, p.a, p.b_, round(sum(w * (abs(q.l - p.l) + abs(q.a - p.a) + abs(q.b_ - p.b_))), 9) AS grad FROM lab p, o8 JOIN lab q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY ALL"),
@@ -66,9 +66,9 @@ PARTS = {
     "pt": ("", "SELECT CAST(vec_id % 25 AS INT) AS grp, CAST(vec_id // 25 AS INT) AS ord, embedding[1]::DOUBLE AS v1, embedding[2]::DOUBLE AS v2, embedding[3]::DOUBLE AS v3 FROM embeddings"),
     "af": ("pt", "SELECT p.grp, p.ord AS i, q.ord AS j, exp(-sqrt((p.v1 - q.v1) ** 2 + (p.v2 - q.v2) ** 2 + (p.v3 - q.v3) ** 2)) AS weight FROM pt p JOIN pt q ON p.grp = q.grp AND p.ord > q.ord"),
     "dg": ("af", "SELECT grp, i, sum(weight) AS degree FROM (SELECT grp, i, weight FROM af UNION ALL SELECT grp, j, weight FROM af) GROUP BY 1, 2"),
-    "pk": ("", "SELECT vec_id AS point_id, [x::DOUBLE FOR x IN embedding[1:8]] AS v FROM embeddings"),
+    "pk": ("", "SELECT vec_id AS point_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings"),
     "ce": ("pk", "SELECT CAST(point_id AS INT) AS k, v AS cv FROM pk WHERE point_id < 3"),
-    "asg": ("ce", "SELECT point_id, any_value(v) AS v, arg_min(k, (d, k)) AS k, min(d) AS dist FROM (SELECT point_id, v, k, list_sum([(v[i] - cv[i]) ** 2 FOR i IN range(1, 9)]) AS d FROM pk, ce) GROUP BY point_id"),
+    "asg": ("ce", "SELECT point_id, any_value(v) AS v, arg_min(k, (d, k)) AS k, min(d) AS dist FROM (SELECT point_id, v, k, list_sum([(v[i] - cv[i]) ** 2 FOR i IN range(1, len(v) + 1)]) AS d FROM pk, ce) GROUP BY point_id"),
 }
 
 
@@ -129,8 +129,8 @@ def image_cv(spark, sf):
     return rounded(stencil.image_variation(c.graded(spark, sf)), "cv")
 
 
-@query(sql(f"""SELECT p.image_id, p.idx, {r6('sqrt((p.l - q.l) ** 2 + (p.a - q.a) ** 2 + (p.b_ - q.b_) ** 2)')} AS l2, {r6('abs(p.l - q.l) + abs(p.a - q.a) + abs(p.b_ - q.b_)')} AS l1,
-    {r6('sqrt(((p.x - q.x) ** 2 + (p.y - q.y) ** 2)::DOUBLE)')} AS coords FROM lab p JOIN first_pixel q ON p.image_id = q.image_id""", "lab", recursive="first_pixel AS MATERIALIZED (SELECT * FROM lab WHERE idx = 0)"))
+@query(sql(f"""SELECT image_id, idx, {r6('sqrt((l - l0) ** 2 + (a - a0) ** 2 + (b_ - b0) ** 2)')} AS l2, {r6('abs(l - l0) + abs(a - a0) + abs(b_ - b0)')} AS l1, {r6('sqrt(((x - x0) ** 2 + (y - y0) ** 2)::DOUBLE)')} AS coords
+    FROM (SELECT *, first(l) OVER w AS l0, first(a) OVER w AS a0, first(b_) OVER w AS b0, first(x) OVER w AS x0, first(y) OVER w AS y0 FROM lab WINDOW w AS (PARTITION BY image_id ORDER BY idx))""", "lab"))
 def color_distances(spark, sf):
     lab = color.with_lab(c.gray(spark, sf).withColumn("norm", F.lit(255)), "v", "v", "v")
     first = lab.where("idx = 0").select("image_id", *[F.col(k).alias(f"o{k}") for k in ("l", "a", "b_", "x", "y")])
@@ -419,7 +419,7 @@ def nearest_centroid(spark, sf):
     return rounded(_assigned(spark, sf)[0].drop("v"), "dist")
 
 
-@query(sql(f"SELECT ce.k, CAST(i - 1 AS INT) AS pos, {r6('CASE WHEN count(asg.k) > 1 THEN avg(asg.v[i]) ELSE any_value(cv[i]) END')} AS c FROM ce JOIN range(1, 9) r(i) ON true LEFT JOIN asg ON asg.k = ce.k GROUP BY ce.k, i", "asg"))
+@query(sql(f"SELECT ce.k, CAST(i - 1 AS INT) AS pos, {r6('CASE WHEN count(asg.k) > 1 THEN avg(asg.v[i]) ELSE any_value(cv[i]) END')} AS c FROM ce JOIN range(1, 65) r(i) ON true LEFT JOIN asg ON asg.k = ce.k GROUP BY ce.k, i", "asg"))
 def centroid_update(spark, sf):
     return rounded(cluster.centroid_update(*_assigned(spark, sf)), "c")
 
@@ -434,7 +434,7 @@ def cluster_sizes(spark, sf):
     return _assigned(spark, sf)[0].groupBy("k").agg(F.count(F.lit(1)).alias("size"))
 
 
-_SIL = "p AS (SELECT vec_id AS id, CAST(vec_id % 10 AS INT) AS grp, label % 3 AS k, [x::DOUBLE FOR x IN embedding[1:4]] AS v FROM embeddings), d AS (SELECT a.grp, a.id, a.k, b.k AS ok, avg(sqrt(list_sum([(a.v[i] - b.v[i]) ** 2 FOR i IN range(1, 5)]))) AS d FROM p a JOIN p b ON a.grp = b.grp AND a.id <> b.id GROUP BY ALL), e AS (SELECT grp, id, max(d) FILTER (k = ok) AS a, min(d) FILTER (k <> ok) AS b FROM d GROUP BY 1, 2)"
+_SIL = "p AS (SELECT vec_id AS id, CAST(vec_id % 10 AS INT) AS grp, label % 3 AS k, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), d AS (SELECT a.grp, a.id, a.k, b.k AS ok, avg(sqrt(list_sum([(a.v[i] - b.v[i]) ** 2 FOR i IN range(1, len(a.v) + 1)]))) AS d FROM p a JOIN p b ON a.grp = b.grp AND a.id <> b.id GROUP BY ALL), e AS (SELECT grp, id, max(d) FILTER (k = ok) AS a, min(d) FILTER (k <> ok) AS b FROM d GROUP BY 1, 2)"
 
 
 @query(f"WITH {_SIL} SELECT grp, {r6('sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) / count(*)')} AS silhouette FROM e GROUP BY grp")
@@ -443,14 +443,9 @@ def silhouette(spark, sf):
     return rounded(cluster.silhouette(points), "silhouette")
 
 
-# The same five operators under names of their own, with SQL over whole embeddings; the SQL above reads 8 and 4 coordinates and stays as its owner left it
-_WHOLE = "pw AS MATERIALIZED (SELECT vec_id AS point_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), cw AS MATERIALIZED (SELECT CAST(point_id AS INT) AS k, v AS cv FROM pw WHERE point_id < 3), aw AS MATERIALIZED (SELECT point_id, any_value(v) AS v, arg_min(k, (d, k)) AS k, min(d) AS dist FROM (SELECT point_id, v, k, list_sum([(v[i] - cv[i]) ** 2 FOR i IN range(1, len(v) + 1)]) AS d FROM pw, cw) GROUP BY point_id)"
-
-query(f"WITH {_WHOLE} SELECT point_id, k, {r6('dist')} AS dist FROM aw", "nearest_centroid_whole")(nearest_centroid)
-query(f"WITH {_WHOLE} SELECT cw.k, CAST(i - 1 AS INT) AS pos, {r6('CASE WHEN count(aw.k) > 1 THEN avg(aw.v[i]) ELSE any_value(cv[i]) END')} AS c FROM cw JOIN range(1, 65) r(i) ON true LEFT JOIN aw ON aw.k = cw.k GROUP BY cw.k, i", "centroid_update_whole")(centroid_update)
-query(f"WITH {_WHOLE} SELECT {r6('sum(dist)')} AS ssd FROM aw", "ssd_whole")(ssd)
-query(f"WITH {_WHOLE} SELECT k, count(*) AS size FROM aw GROUP BY k", "cluster_sizes_whole")(cluster_sizes)
-query("WITH " + _SIL.replace("embedding[1:4]", "embedding").replace("range(1, 5)", "range(1, len(a.v) + 1)") + f" SELECT grp, {r6('sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) / count(*)')} AS silhouette FROM e GROUP BY grp", "silhouette_whole")(silhouette)
+# Names that these five had while the SQL above read a part of the coordinates
+for _name in ("nearest_centroid", "centroid_update", "ssd", "cluster_sizes", "silhouette"):
+    query(SQL[_name], f"{_name}_whole")(QUERIES[_name])
 
 
 @query()
@@ -559,16 +554,17 @@ def _response(spark, sf):
     return c.graded(spark, sf).select("image_id", "x", "y", F.col("grad").alias("v"))
 
 
-# edges in the order of weight and pixels, without the last of each square (no spanning tree has it); then one edge after the other, with the region of each pixel as a list
+# edges in the order of weight and pixels, without the last of each square (no spanning tree has it); then one edge after the other
 _MERGED = f"""ed AS MATERIALIZED (SELECT p.image_id, p.x, p.y, q.y = p.y AS across, p.idx AS a, q.idx AS b, abs(p.grad - q.grad) AS w FROM gr p JOIN gr q ON p.image_id = q.image_id AND q.y = p.y AND q.x = p.x + 1
     UNION ALL SELECT p.image_id, p.x, p.y, false, p.idx, q.idx, abs(p.grad - q.grad) FROM gr p JOIN gr q ON p.image_id = q.image_id AND q.x = p.x AND q.y = p.y + 1),
 sq AS MATERIALIZED (SELECT u.image_id, greatest((u.w, u.a, u.b), (d.w, d.a, d.b), (l.w, l.a, l.b), (r.w, r.a, r.b)) AS last FROM ed u JOIN ed d ON d.image_id = u.image_id AND d.across AND d.x = u.x AND d.y = u.y + 1
     JOIN ed l ON l.image_id = u.image_id AND NOT l.across AND l.x = u.x AND l.y = u.y JOIN ed r ON r.image_id = u.image_id AND NOT r.across AND r.x = u.x + 1 AND r.y = u.y WHERE u.across),
 ord AS MATERIALIZED (SELECT image_id, a, b, w, CAST(row_number() OVER (PARTITION BY image_id ORDER BY w, a, b) AS INT) AS n FROM ed WHERE NOT EXISTS (SELECT 1 FROM sq WHERE sq.image_id = ed.image_id AND sq.last = (ed.w, ed.a, ed.b))),
-k(image_id, n, part, tree) USING KEY (image_id) AS (SELECT DISTINCT image_id, 0, range({c.ROWS * c.COLS}), []::STRUCT(n INT, size BIGINT)[] FROM ord
-    UNION SELECT image_id, n, CASE WHEN pa = pb THEN part ELSE list_transform(part, lambda i: CASE WHEN i = pb THEN pa ELSE i END) END,
-        CASE WHEN pa = pb THEN tree ELSE tree || [{{'n': n, 'size': least(len(list_filter(part, lambda i: i = pa)), len(list_filter(part, lambda i: i = pb)))::BIGINT}}] END
-    FROM (SELECT k.image_id, ord.n, part, tree, part[a + 1] AS pa, part[b + 1] AS pb FROM k JOIN ord ON ord.image_id = k.image_id AND ord.n = k.n + 1))"""
+-- part: the region of each pixel as five characters, so that two regions become one by replacing text
+k(image_id, n, part, tree) USING KEY (image_id) AS (SELECT image_id, 0, (SELECT string_agg(format('{{:04d}},', i), '' ORDER BY i) FROM range({c.ROWS * c.COLS}) t(i)), []::STRUCT(n INT, size BIGINT)[] FROM (SELECT DISTINCT image_id FROM ord)
+    UNION SELECT image_id, n, CASE WHEN pa = pb THEN part ELSE replace(part, pb, pa) END,
+        CASE WHEN pa = pb THEN tree ELSE tree || [{{'n': n, 'size': (strlen(part) - greatest(strlen(replace(part, pa, '')), strlen(replace(part, pb, '')))) // 5}}] END
+    FROM (SELECT k.image_id, ord.n, part, tree, substr(part, CAST(5 * a + 1 AS INT), 5) AS pa, substr(part, CAST(5 * b + 1 AS INT), 5) AS pb FROM k JOIN ord ON ord.image_id = k.image_id AND ord.n = k.n + 1))"""
 
 
 @query(sql(f"SELECT ord.image_id, a, b, {r6('w')} AS weight, CAST(t.size AS DOUBLE) AS height FROM (SELECT image_id, unnest(tree) AS t FROM k) u JOIN ord ON ord.image_id = u.image_id AND ord.n = t.n", "gr", recursive=_MERGED))
