@@ -65,14 +65,18 @@ def boruvka(edges: DataFrame) -> Regions:
 
 
 def _roots(best: DataFrame) -> DataFrame:
-    """best: image_id, node, to. The last node that `to` leads to: of the two that point at each other the smaller. Ways are doubled until none gets longer."""
+    """best: image_id, node, to. The last node that `to` leads to: of two that point at each other the smaller, or one that points nowhere. Ways are doubled (twice
+    in each table) until none gets longer."""
     on = best.select("image_id", F.col("node").alias("to"), F.col("to").alias("next"))
-    jumped = best.select("image_id", "node", "to").join(on, ["image_id", "to"])
+    jumped = best.select("image_id", "node", "to").join(on, ["image_id", "to"], "left")
     first = F.when((F.col("next") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to"))
     known = cut(jumped.select("image_id", "node", first.alias("root"), F.lit(True).alias("moved")))
     while True:
         on = known.select("image_id", F.col("node").alias("root"), F.col("root").alias("next"))
-        step = cut(known.drop("moved").join(on, ["image_id", "root"]).select("image_id", "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        twice = known.select("image_id", "node", "root").join(on, ["image_id", "root"], "left").select("image_id", "node", F.col("root").alias("was"), F.coalesce("next", "root").alias("root"))
+        on = on.withColumnRenamed("next", "third")
+        step = twice.join(on, ["image_id", "root"], "left").select("image_id", "node", "was", F.coalesce("third", "root").alias("root"))
+        step = cut(step.select("image_id", "node", "root", (F.col("was") != F.col("root")).alias("moved")))
         drop(known)
         known = step
         if known.where("moved").isEmpty():
@@ -165,3 +169,42 @@ def marker_reach(regions: Regions, nodes: DataFrame, marked: DataFrame) -> DataF
     out = cut(_union(met).groupBy("image_id", "node", "kind").agg(F.min("reach").alias("reach")))
     drop(*up, *steps[1:])
     return out
+
+
+def flood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """edges: image_id, a, b, weight. seeds: image_id, node, tree_id. Returns image_id, node, tree_id of all nodes that a seed can reach: the minimum spanning forest in
+    which each tree holds one seed, so each node comes to a seed along the way whose largest edge is least. In each round the parts without a seed take their least edge; parts that
+    meet a seed's part that way belong to it. Of several trees that start at one node the smallest counts."""
+    edge = F.struct(F.coalesce(F.col("weight").cast("double"), F.lit(INFINITE)).alias("weight"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).cast(EDGE)
+    roots = cut(seeds.groupBy("image_id", "node").agg(F.min("tree_id").alias("tree_id")))
+    seeded = lambda c: roots.select("image_id", F.col("node").alias(c), F.lit(True).alias(f"{c}_seeded"))
+    flags = ("a_seeded", "b_seeded")
+    left = edges.where("a <> b").select("image_id", edge.alias("edge")).select("image_id", F.col("edge.a").alias("a"), F.col("edge.b").alias("b"), "edge")
+    left = left.join(seeded("a"), ["image_id", "a"], "left").join(seeded("b"), ["image_id", "b"], "left").fillna(False, list(flags))
+    left = cut(left.where("not (a_seeded and b_seeded)").groupBy("image_id", "a", "b", *flags).agg(F.min("edge").alias("edge")))
+    levels = []
+    while not levels or not left.isEmpty():
+        both = left.where("not a_seeded").select("image_id", F.col("a").alias("node"), F.col("b").alias("to"), "edge").unionByName(left.where("not b_seeded").select("image_id", F.col("b").alias("node"), F.col("a").alias("to"), "edge"))
+        best = cut(both.groupBy("image_id", "node").agg(F.min(F.struct("edge", "to")).alias("m")).select("image_id", "node", "m.to"))
+        found = _roots(best)
+        levels.append(cut(found.select("image_id", "node", F.col("root").alias("parent")).join(roots.select("image_id", F.col("node").alias("parent"), F.lit(True).alias("done")), ["image_id", "parent"], "left").fillna(False, ["done"])))
+        up = lambda c: levels[-1].select("image_id", F.col("node").alias(c), F.col("parent").alias(f"{c}_up"), F.col("done").alias(f"{c}_done"))
+        moved = left.join(up("a"), ["image_id", "a"], "left").join(up("b"), ["image_id", "b"], "left")
+        end = lambda c: (F.coalesce(f"{c}_up", c), F.coalesce(f"{c}_done", f"{c}_seeded"))
+        (x, xs), (y, ys) = end("a"), end("b")
+        moved = moved.select("image_id", x.alias("a"), y.alias("b"), xs.alias("a_seeded"), ys.alias("b_seeded"), "edge").where("a <> b and not (a_seeded and b_seeded)")
+        fewer = cut(moved.groupBy("image_id", "a", "b", *flags).agg(F.min("edge").alias("edge")))
+        drop(left, best, found)
+        left = fewer
+    # every node without a seed is in the first table; parts are named after one of their nodes
+    steps = [roots.select("image_id", "node", F.col("node").alias("at"), F.lit(True).alias("done"))]
+    climbing = levels[0].select("image_id", "node", F.col("parent").alias("at"), "done")
+    for k, level in enumerate(levels):
+        if k:
+            on = level.select("image_id", F.col("node").alias("at"), "parent", "done")
+            climbing = steps[-1].where("not done").drop("done").join(on, ["image_id", "at"]).select("image_id", "node", F.col("parent").alias("at"), "done")
+        steps.append(cut(climbing))
+    out = _union(steps).where("done").select("image_id", "node", "at").join(roots.withColumnRenamed("node", "at"), ["image_id", "at"])
+    out = cut(out.select("image_id", "node", "tree_id"))
+    drop(left, roots, *levels, *steps[1:])
+    return out

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import color, cost, view
-from .operators import cluster, scribble, seeds, stencil, trees, watershed
+from .operators import cluster, hierarchy, scribble, seeds, selection, stencil, trees, watershed
 from .plans import carriers as c
 from .plans.segment import segment
+from .plans.tables import segment_tables as segment_by_tables
 from .sources import images
 from .sources import scribbles as scribbles_source
 
@@ -338,6 +339,44 @@ def surviving_kinds(spark, sf):
     return trees.surviving_kinds(c.scribbles(spark, sf).withColumn("label", F.col("marker_id") + 1), 1, 3)
 
 
+# one tree after the other: it goes unless a neighbour is of the object or has gone
+_IN_ORDER = """nb AS (SELECT image_id, tree_id, list(other) AS others, bool_or(other % 3 = 0) AS safe FROM nd GROUP BY 1, 2),
+turn AS MATERIALIZED (SELECT image_id, tree_id, row_number() OVER (PARTITION BY image_id ORDER BY priority, tree_id) AS n FROM low),
+k(image_id, n, gone) USING KEY (image_id) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[] FROM low
+    UNION SELECT k.image_id, k.n + 1, CASE WHEN safe OR list_has_any(others, gone) THEN gone ELSE gone || [turn.tree_id] END FROM k JOIN turn ON turn.image_id = k.image_id AND turn.n = k.n + 1 JOIN nb ON nb.image_id = k.image_id AND nb.tree_id = turn.tree_id)"""
+
+
+@query(sql("SELECT low.image_id, low.tree_id, list_contains(gone, low.tree_id) AS removed FROM low JOIN k ON k.image_id = low.image_id", "cl", recursive="low AS (SELECT image_id, tree_id, round(priority, 9) AS priority FROM cl WHERE tree_id % 3 <> 0), " + _IN_ORDER))
+def removal_order(spark, sf):
+    """Background trees in ascending order of priority."""
+    _, stats, adjacency = _trees(spark, sf)
+    judged = trees.tree_classes(stats, adjacency).withColumn("priority", F.round("priority", 9))
+    return selection.removed_in_order(judged.where("tree_id % 3 <> 0"), adjacency, stats.where("is_object"))
+
+
+_LIMITS = _GROUPS + ", lim AS (SELECT image_id, grp, CASE WHEN n1 = 0 THEN 'Infinity'::DOUBLE ELSE s / (n1 + n2) + sqrt(abs(s2 - 2 * s + s * s / n1 + n2) / n1 + n2) END AS most FROM q), j AS MATERIALIZED (SELECT cl.*, coalesce(a.most, 'Infinity'::DOUBLE) AS inner_most, coalesce(b.most, 'Infinity'::DOUBLE) AS outer_most FROM cl LEFT JOIN lim a ON a.image_id = cl.image_id AND a.grp = '13' LEFT JOIN lim b ON b.image_id = cl.image_id AND b.grp = '24'), low AS (SELECT image_id, tree_id, priority FROM j WHERE tree_id % 3 = 2 AND class = 1 AND priority < inner_most)"
+_KEPT_TREES = """, st2 AS (SELECT j.image_id, j.tree_id, tree_id % 3 + 1 AS label, priority,
+    CASE WHEN tree_id % 3 < 2 THEN CASE WHEN class > 0 THEN 0 END WHEN class = 1 THEN 1 WHEN class = 2 AND (outer_most <= 0 OR (outer_most < 'Infinity'::DOUBLE AND floor(outer_most) >= outer_most)) AND floor(priority) >= outer_most THEN 2 END AS place
+    FROM j LEFT JOIN k ON k.image_id = j.image_id WHERE NOT list_contains(coalesce(gone, []), j.tree_id))"""
+
+
+def _removal(spark, sf):
+    """Trees whose number leaves 0 are of the object, 1 scribbled background, 2 grid trees."""
+    _, stats, adjacency = _trees(spark, sf)
+    marked = stats.withColumns({"label": (F.col("tree_id") % 3 + 1).cast("int"), "is_grid": F.col("tree_id") % 3 == 2})
+    return marked, selection.kept_by_class(marked, adjacency)
+
+
+@query(sql("SELECT image_id, tree_id, CAST(label AS INT) AS label, label = 3 AS is_grid, CAST(row_number() OVER (PARTITION BY image_id ORDER BY place, CASE place WHEN 1 THEN priority WHEN 2 THEN -priority ELSE 0 END, tree_id) - 1 AS INT) AS new_id FROM st2 WHERE place IS NOT NULL", "cl", recursive=_LIMITS + ", " + _IN_ORDER + _KEPT_TREES))
+def kept_trees(spark, sf):
+    return _removal(spark, sf)[1]
+
+
+@query(sql("SELECT image_id, CASE WHEN NOT coalesce(bool_or(label = 1), false) OR NOT coalesce(bool_or(label > 1), false) THEN 1 WHEN NOT bool_or(label = 3) THEN 2 ELSE 0 END AS state FROM (SELECT im.image_id, label FROM im LEFT JOIN st2 ON st2.image_id = im.image_id AND place IS NOT NULL) GROUP BY 1", "cl", "im", recursive=_LIMITS + ", " + _IN_ORDER + _KEPT_TREES))
+def removal_states(spark, sf):
+    return selection.removal_state(*_removal(spark, sf))
+
+
 def _borders(name: str, label: str, duck: str, diagonal: bool = False):
     reach = "greatest(abs(p.x - q.x), abs(p.y - q.y)) = 1" if diagonal else "abs(p.x - q.x) + abs(p.y - q.y) = 1"
 
@@ -550,6 +589,30 @@ _segmentation("relevance", 2)
 _segmentation("superpixel", 2)
 
 
+# edges in the order of weight and pixels; parts as five characters for each pixel, those of a seed with a letter in front
+_FLOOD = f"""e AS MATERIALIZED (SELECT p.image_id, p.idx AS a, q.idx AS b, abs(p.v - q.v) AS w FROM g p JOIN g q ON p.image_id = q.image_id AND q.y = p.y AND q.x = p.x + 1
+    UNION ALL SELECT p.image_id, p.idx, q.idx, abs(p.v - q.v) FROM g p JOIN g q ON p.image_id = q.image_id AND q.x = p.x AND q.y = p.y + 1),
+ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w, a, b) AS n FROM e),
+s AS (SELECT image_id, idx, CAST(row_number() OVER (PARTITION BY image_id ORDER BY idx) - 1 AS INT) AS tree_id FROM lat),
+k(image_id, n, part) USING KEY (image_id) AS (SELECT g.image_id, 0::BIGINT, string_agg(CASE WHEN tree_id IS NULL THEN format('{{:04d}},', g.idx) ELSE format('s{{:03d}},', tree_id) END, '' ORDER BY g.idx) FROM g LEFT JOIN s ON s.image_id = g.image_id AND s.idx = g.idx GROUP BY 1
+    UNION SELECT image_id, n, CASE WHEN pa = pb OR (pa LIKE 's%' AND pb LIKE 's%') THEN part WHEN pa LIKE 's%' THEN replace(part, pb, pa) ELSE replace(part, pa, pb) END
+    FROM (SELECT k.image_id, ord.n, part, substr(part, CAST(5 * a + 1 AS INT), 5) AS pa, substr(part, CAST(5 * b + 1 AS INT), 5) AS pb FROM k JOIN ord ON ord.image_id = k.image_id AND ord.n = k.n + 1))"""
+
+
+@query(sql(f"SELECT image_id, i AS node, CAST(substr(part, CAST(5 * i + 2 AS INT), 3) AS INT) AS tree_id FROM k, range({c.ROWS * c.COLS}) t(i) WHERE substr(part, CAST(5 * i + 1 AS INT), 1) = 's'", "g", "lat", recursive=_FLOOD))
+def flooded(spark, sf):
+    """Trees grown from the lattice over the gray differences."""
+    number = F.row_number().over(Window.partitionBy("image_id").orderBy("idx")) - 1
+    starts = c.candidates(spark, sf).select("image_id", F.col("idx").alias("node"), number.alias("tree_id"))
+    return hierarchy.flood(stencil.edge_weights(stencil.edge_graph(c.gray(spark, sf), "v"), "l1"), starts)
+
+
+@query()
+def segment_tables(spark, sf):
+    pixels = c.gray(spark, sf).select("image_id", "x", "y", F.array("v").alias("val"))
+    return segment_by_tables(pixels, c.scribbles(spark, sf), c.SAMPLES, 3)
+
+
 def _response(spark, sf):
     return c.graded(spark, sf).select("image_id", "x", "y", F.col("grad").alias("v"))
 
