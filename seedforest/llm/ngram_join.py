@@ -5,7 +5,7 @@ more in common than the sum, over the groups, of the smaller count; a link asks
 of a box bounds the overlap with all points below a node of an R-tree, so whole boxes are left out before any two points meet, and any two points before
 their sets do. What survives is verified on the words.
 
-Groups are ranges of hashes, about one for each shingle (GROUPS at least, a power of two), so that points of different fineness fold into one another.
+Groups are ranges of hashes, about one for each shingle (GROUPS at least, a power of two), so that points of different fineness fold into one another. The trees of all cells of a task are built and searched together, as array operations.
 
 The points of unrelated documents lie as close together as those of a group, dimension by dimension, and a tree over all points would have to look at nearly all of its
 leaves. Its top level is therefore split by the contents of wide segments (ranges of hashes, some three or four shingles each): sets that are linked differ in
@@ -93,11 +93,16 @@ def point(own: np.ndarray) -> bytes:
     return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if counts.max() <= np.iinfo(t).max)).tobytes()
 
 
-def unpacked(raw: bytes, n: int, groups: int) -> np.ndarray:
-    """A point, folded to so many groups."""
-    own = groups_of(n)
-    counts = np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // own])
-    return counts.reshape(groups, own // groups).sum(1, dtype=np.int32)
+def unpacked(raw: list[bytes], sizes: np.ndarray, groups: int) -> np.ndarray:
+    """Points as rows, folded to so many groups."""
+    out = np.zeros((len(raw), groups), np.int32)
+    own = np.array([groups_of(n) for n in sizes.tolist()], np.int64)
+    width = np.array([len(r) for r in raw], np.int64) // np.maximum(own, 1)
+    for n, w in set(zip(own.tolist(), width.tolist(), strict=True)):
+        rows = np.flatnonzero((own == n) & (width == w))
+        counts = np.frombuffer(b"".join([raw[r] for r in rows]), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[w])
+        out[rows] = counts.reshape(len(rows), groups, n // groups).sum(2, dtype=np.int32)
+    return out.astype(np.uint8) if out.max(initial=0) < 256 else out
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -119,40 +124,46 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
     return map_arrow(narrow, run, f"id {kind}, n_shingles long, digest binary, point binary, keys array<long>")
 
 
-class Tree:
-    """A packed R-tree of points: in the order of size, FAN points to a leaf and FAN nodes to a node. Of each node the upper corner, the smallest and largest
-    size, and the label if all points below have the same one (else -1)."""
+class Trees:
+    """Packed R-trees, one for each cell, built and searched together. Rows come by cell, then by size: FAN points of a cell make a leaf and FAN nodes a node. Of each node the
+    upper corner, the smallest and largest size, the label if all points below have the same one (else -1), and its first child."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        self.points, self.sizes, self.labels = points, sizes, labels
-        self.levels = []
+    def __init__(self, cells: np.ndarray, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.levels = [(points, sizes, sizes, labels, None)]
         high, low_n, high_n, label = points, sizes, sizes, labels
-        while len(high) > 1:
-            at = np.arange(0, len(high), FAN)
+        while len(cells):
+            starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            place = np.arange(len(cells)) - np.repeat(starts, np.diff(np.append(starts, len(cells))))
+            at = np.flatnonzero(place % FAN == 0)
+            done = len(at) == len(starts)
             high, low_n, high_n = np.maximum.reduceat(high, at), np.minimum.reduceat(low_n, at), np.maximum.reduceat(high_n, at)
             least, most = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
             label = np.where(least == most, least, -1)
-            self.levels.append((high, low_n, high_n, label))
-
-    def near(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """asking row, row of the tree, bound of the overlap: all of other labels that can be linked."""
-        asking, node = np.arange(len(points)), np.zeros(len(points), np.int64)
-        levels = [*self.levels[::-1], (self.points, self.sizes, self.sizes, self.labels)]
+            self.levels.append((high, low_n, high_n, label, np.append(at, len(cells))))
+            cells = cells[at]
+            if done:
+                break
+        self.roots = cells
+
+    def near(self, cells: np.ndarray, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """asking row, row of the trees, bound of the overlap: all of other labels in the asking row's cell that can be linked."""
+        asking = np.flatnonzero(np.isin(cells, self.roots))
+        node = np.searchsorted(self.roots, cells[asking])
         bound = np.zeros(0, np.int64)
-        for depth, (high, low_n, high_n, label) in enumerate(levels):
-            if depth:
-                asking = np.repeat(asking, FAN)
-                node = (node[:, None] * FAN + np.arange(FAN)).reshape(-1)
-                asking, node = asking[node < len(high)], node[node < len(high)]
+        for high, low_n, high_n, label, children in self.levels[::-1]:
             n = sizes[asking]
             may = (label[node] != labels[asking]) & (high_n[node] * 100 >= n * percent) & (n * 100 >= low_n[node] * percent)
             asking, node = asking[may], node[may]
             bound = np.zeros(len(node), np.int64)
-            step = max(1, (1 << 21) // points.shape[1])
+            step = max(1, (1 << 21) // max(1, points.shape[1]))
             for k in range(0, len(node), step):
                 bound[k : k + step] = np.minimum(points[asking[k : k + step]], high[node[k : k + step]]).sum(1, dtype=np.int64)
             may = bound * (100 + percent) >= percent * (sizes[asking] + np.minimum(low_n[node], sizes[asking] * 100 // percent))
             asking, node, bound = asking[may], node[may], bound[may]
+            if children is not None:
+                first, many = children[node], children[node + 1] - children[node]
+                asking = np.repeat(asking, many)
+                node = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(asking))
         return asking, node, bound
 
 
@@ -160,38 +171,36 @@ def _search(percent: int, nearest: bool):
     """For each cell of a pack (rows of side 0 ask; those of side 1, or the same rows where there are none, make up the tree): pairs that can be linked."""
 
     def run(table: pa.Table) -> pa.Table:
-        cell = table.column("cell").to_numpy()
+        cell = np.unique(table.column("cell").to_numpy(), return_inverse=True)[1]
         side, sizes = table.column("side").to_numpy(), table.column("n").to_numpy()
         labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1].astype(np.int64)
         raw = table.column("point").to_pylist()
-        order = np.lexsort((sizes, side, cell))
-        bounds = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
-        a, b, score = [], [], []
-        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-            rows = order[x:y]
-            groups = min(groups_of(int(n)) for n in (sizes[rows].min(), sizes[rows].max()))
-            points = np.array([unpacked(raw[r], int(sizes[r]), groups) for r in rows])
-            ask, there = np.flatnonzero(side[rows] == 0), np.flatnonzero(side[rows] == 1)
-            both = not len(there)
-            there = ask if both else there
-            if not len(ask):
-                continue
-            i, j, common = Tree(points[there], sizes[rows[there]], labels[rows[there]]).near(points[ask], sizes[rows[ask]], labels[rows[ask]], percent)
-            if both and not nearest:
-                i, j, common = i[i < j], j[i < j], common[i < j]
-            i, j = rows[ask[i]], rows[there[j]]
-            share = common / (sizes[i] + sizes[j])
-            if nearest:
-                best = np.lexsort((-share, i))
-                best = best[np.concatenate([[True], i[best][1:] != i[best][:-1]])] if len(best) else best
-                i, j, share = i[best], j[best], share[best]
-            a.append(i)
-            b.append(j)
-            score.append(share)
+        order = np.lexsort((sizes, cell))
+        starts = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+        groups = np.array([groups_of(n) for n in sizes[order[starts]].tolist()], np.int64)[cell] if len(order) else cell  # of the smallest set of the cell
+        two = np.maximum.reduceat(side[order], starts)[cell] if len(order) else cell
         none = np.zeros(0, np.int64)
-        a, b, score = np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none.astype(float), *score])
+        found = [(none, none, none)]
+        for g in np.unique(groups).tolist():
+            rows = order[groups[order] == g]
+            points = unpacked([raw[r] for r in rows], sizes[rows], g)
+            ask, there = np.flatnonzero(side[rows] == 0), np.flatnonzero(side[rows] == two[rows])
+            trees = Trees(cell[rows[there]], points[there], sizes[rows[there]], labels[rows[there]])
+            i, j, common = trees.near(cell[rows[ask]], points[ask], sizes[rows[ask]], labels[rows[ask]], percent)
+            i, j = ask[i], there[j]
+            if not nearest:  # where a cell's own rows make up its tree, each pair is met twice
+                once = (two[rows[i]] == 1) | (i < j)
+                i, j, common = i[once], j[once], common[once]
+            found.append((rows[i], rows[j], common))
+        a, b, common = (np.concatenate(x) for x in zip(*found, strict=True))
+        share = common / np.maximum(1, sizes[a] + sizes[b])
+        if nearest and len(a):
+            nodes = np.unique(table.column("node").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            best = np.lexsort((-share, nodes[a]))
+            best = best[np.concatenate([[True], nodes[a[best]][1:] != nodes[a[best]][:-1]])]
+            a, b, share = a[best], b[best], share[best]
         nodes = table.column("node").combine_chunks() if table.num_rows else pa.array([], table.schema.field("node").type)
-        out = pa.table({"a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b)), "n_a": pa.array(sizes[a]), "n_b": pa.array(sizes[b]), "share": pa.array(score)})
+        out = pa.table({"a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b)), "n_a": pa.array(sizes[a]), "n_b": pa.array(sizes[b]), "share": pa.array(share)})
         release()
         return out
 
@@ -259,7 +268,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = cut(named.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
 
     keyed = apart.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"))
+    # of cells that hold the very same texts (by 128 bits of hash over them, and their number) one is enough
+    mark = [F.bit_xor(F.xxhash64("node", "n", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    cells = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), *mark, F.count(F.lit(1)).alias("rows")).where("x <> y")
+    shared = cut(cells.groupBy("mark0", "mark1", "rows").agg(F.min("key").alias("key")).select("key"))
     held = cut(with_keys(keyed, [keyed["key"]], shared, "left_semi"))
     nodes = cut(held.select(F.col("node").alias("id")).distinct())
     points = with_keys(apart, [apart["id"]], nodes, "left_semi")
