@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cost import squared
+from ..plans.lineage import cut, drop
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -123,6 +124,79 @@ def lloyd(data: np.ndarray, centres: np.ndarray, changed: float = 0.001, loops:
     return member, centres
 
 
+def spaced_centres(points: DataFrame, k: int, middle: bool) -> DataFrame:
+    """points: grp, ord, v, with ord from 0 without gaps. The first centres of each group of k points or more, evenly spaced by ord: grp, cs (a list of number and coordinates)."""
+    each = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    step = F.floor(F.col("n") / k)
+    place = F.floor((2 * F.col("i") + 1) * step / 2) if middle else F.col("i") * step
+    wanted = each.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(k)]))).select("grp", "i", place.cast("int").alias("ord"))
+    return wanted.join(points.select("grp", "ord", "v"), ["grp", "ord"]).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").alias("c")))).alias("cs"))
+
+
+def lloyd_groups(points: DataFrame, centres: DataFrame, changed: float = 0.001, loops: int = 300) -> DataFrame:
+    """points: grp, ord, v. centres: spaced_centres(). Returns grp, ord, k: the nearest centre (the first on ties) when no more than a share `changed` of a group's points moves.
+
+    All groups go through the loop together, and each leaves it when it is done; points are dealt out by group and number, so a group of any size is spread over tasks. Sums of a cluster are
+    formed within tasks first. A cluster of one point, or of none, keeps its centre. Groups without centres are left out; an empty table gives an empty table."""
+    every = points.select("grp", "ord", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    going = cut(every.join(centres, "grp", "left_semi").withColumn("k", F.lit(-1)))
+    middles, done = cut(centres), []
+    for _ in range(loops):
+        if middles.isEmpty():
+            break
+        nearest = F.array_min(F.transform("cs", lambda c: F.struct(squared(F.col("v"), c["c"]).alias("dist"), c["i"].alias("i"))))["i"]
+        step = cut(going.withColumnRenamed("k", "was").join(middles, "grp").select("grp", "ord", "v", "was", nearest.alias("k")))
+        moved = step.groupBy("grp").agg(F.avg((F.col("k") != F.col("was")).cast("double")).alias("moved"))
+        finished = cut(moved.where(F.col("moved") <= changed).select("grp"))
+        done.append(cut(step.join(finished, "grp", "left_semi").select("grp", "ord", "k")))
+        left = cut(step.join(finished, "grp", "left_anti").select("grp", "ord", "v", "k"))
+        means = left.select("grp", "k", F.posexplode("v").alias("pos", "x")).groupBy("grp", "k", "pos").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        means = means.groupBy("grp", "k").agg(F.sort_array(F.collect_list(F.struct("pos", "m")))["m"].alias("mean"))
+        old = middles.join(finished, "grp", "left_anti").select("grp", F.explode("cs").alias("c")).select("grp", F.col("c.i").alias("k"), F.col("c.c").alias("c"))
+        fresh = cut(old.join(means, ["grp", "k"], "left").groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(F.col("k").alias("i"), F.coalesce("mean", "c").alias("c")))).alias("cs")))
+        drop(going, middles, step, finished)
+        going, middles = left, fresh
+    out = going.select("grp", "ord", "k")
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def _numbered(points: DataFrame) -> DataFrame:
+    return cut(points.select("grp", F.col("ord").cast("int").alias("ord"), F.transform("v", lambda x: x.cast("double")).alias("v")))
+
+
+def elbow_clusters(points: DataFrame, k: int = 3) -> DataFrame:
+    """points: grp, ord (from 0 without gaps), v. grp, ord, cluster: k-means of all groups at once, with evenly spaced first centres, until nothing moves. k is 3: the number that the
+    reference's elbow always gives; a group of fewer points has as many clusters as points."""
+    points = _numbered(points)
+    small = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < k)
+    found = lloyd_groups(points, spaced_centres(points, k, False), 0.0, 500).select("grp", "ord", F.col("k").alias("cluster"))
+    return found.unionByName(points.join(small, "grp", "left_semi").select("grp", "ord", F.col("ord").alias("cluster")))
+
+
+def silhouette_clusters(points: DataFrame) -> DataFrame:
+    """points: grp, ord (from 0 without gaps), v. grp, ord, cluster: of k = 2, 3, .. the k-means clustering of best mean silhouette (the first on ties), for all groups at once; with k
+    clusters the first k - 1 coordinates count. Groups of n points and d coordinates try k up to d, or n - 1 where n < d; groups of fewer than four points are one cluster."""
+    points = _numbered(points)
+    sizes = cut(points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).withColumn("most", F.when(F.col("n") < 4, 0).when(F.col("n") < F.col("d"), F.col("n") - 1).otherwise(F.col("d"))))
+    most = sizes.agg(F.max("most")).first()[0] or 0
+    tries = []
+    for k in range(2, most + 1):
+        part = points.join(sizes.where(F.col("most") >= k), "grp", "left_semi").withColumn("v", F.slice("v", 1, k - 1))
+        member = cut(lloyd_groups(part, spaced_centres(part, k, True)))
+        score = silhouette(part.join(member, ["grp", "ord"]).select("grp", F.col("ord").alias("point_id"), "k", "v"))
+        tries.append(cut(member.join(score, "grp").select("grp", "ord", F.col("k").alias("cluster"), F.lit(k).alias("tried"), F.round("silhouette", 12).alias("silhouette"))))
+    alone = points.join(sizes.where("most < 2"), "grp", "left_semi").select("grp", "ord", F.lit(0).alias("cluster"))
+    if not tries:
+        return alone
+    every = tries[0]
+    for t in tries[1:]:
+        every = every.unionByName(t)
+    best = every.groupBy("grp").agg(F.min(F.struct((-F.col("silhouette")).alias("s"), "tried"))["tried"].alias("tried"))
+    return every.join(best, ["grp", "tried"]).select("grp", "ord", "cluster").unionByName(alone)
+
+
 def mean_silhouette(data: np.ndarray, member: np.ndarray) -> float:
     dist = np.sqrt(((data[:, None, :] - data[None]) ** 2).sum(2))
     total = 0.0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distance import distance_squared
 from .stencil import with_neighbours
 
 
@@ -60,10 +61,9 @@ def top_trees(relevances: DataFrame, k: int) -> DataFrame:
 
 
 def scribble_distance(labelled: DataFrame, scribbles: DataFrame) -> DataFrame:
-    """Of each tree the smallest pixel distance to the first marker, whose points are gathered per image (a marker is a few hundred pixels)."""
-    marks = scribbles.where("marker_id = 0").groupBy("image_id").agg(F.collect_list(F.struct("x", "y")).alias("marks"))
-    nearest = F.array_min(F.transform("marks", lambda m: (m["x"] - F.col("x")) * (m["x"] - F.col("x")) + (m["y"] - F.col("y")) * (m["y"] - F.col("y"))))
-    return labelled.join(marks, "image_id").groupBy("image_id", "tree_id").agg(F.sqrt(F.min(nearest)).alias("min_dist"))
+    """Of each tree the smallest pixel distance to the first marker (its pixels within the image), by a distance transform of the image."""
+    near = distance_squared(labelled, scribbles.where("marker_id = 0")).where("d2 is not null")
+    return labelled.select("image_id", "x", "y", "tree_id").join(near, ["image_id", "x", "y"]).groupBy("image_id", "tree_id").agg(F.sqrt(F.min("d2")).alias("min_dist"))
 
 
 def tree_classes(stats: DataFrame, adjacency: DataFrame) -> DataFrame:

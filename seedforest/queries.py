@@ -494,12 +494,12 @@ def spectral_clusters(spark, sf):
 
 @query()
 def kmeans_silhouette(spark, sf):
-    return cluster.cluster_groups(_grouped(spark, sf), "silhouette")
+    return cluster.silhouette_clusters(_grouped(spark, sf))
 
 
 @query()
 def kmeans_elbow(spark, sf):
-    return cluster.cluster_groups(_grouped(spark, sf), "elbow")
+    return cluster.elbow_clusters(_grouped(spark, sf))
 
 
 # --- views and graphs ----------------------------------------------------------------------------------------------------
