@@ -28,7 +28,7 @@ STRICT_TERMS = (
     "sportsbook striptease swingers threesome upskirt viagra cialis warez xhamster xnxx xvideos xxx youporn"
 )
 SOFT_TERMS = (
-    "ads advert hardcore hookup slot affiliate backlink backlinks bet bets betting bingo blackjack bonus bonuses cheap cheats click clickbait coupon coupons crack cracked cracks "
+    "ads advert hookup slot affiliate backlink backlinks bet bets betting bingo blackjack bonus bonuses cheap cheats click clickbait coupon coupons crack cracked cracks "
     "dating deal deals debt discount discounts erotic essay essays followers forex free freebies giveaway girls gamble hack hacked jackpot keygen kinky lingerie "
     "likes loan loans lottery lotto mature meds miracle naked nude nudes nulled payday penny pharmacy pill pills pirate poker popup promo promos rapidshare refinance replica "
     "roulette signup singles spam spin spins steroids sweepstakes teen teens tits torrent torrents track tracker tramadol unlocked uncensored webcam "
@@ -36,6 +36,8 @@ SOFT_TERMS = (
 )
 VOCABULARY = dict.fromkeys(STRICT_TERMS.split(), STRICT_WEIGHT) | dict.fromkeys(SOFT_TERMS.split(), 1.0)
 REJECT_WEIGHT = 2.0
+if len(VOCABULARY) < len(STRICT_TERMS.split()) + len(SOFT_TERMS.split()):
+    raise ValueError("a term is both strict and soft, or comes twice")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Percent escapes of ASCII letters and digits; a term written so counts as well.
 ESCAPED = "%(3[0-9]|[46][1-9a-f]|[57][0-9a])"
