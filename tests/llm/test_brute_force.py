@@ -105,3 +105,9 @@ def test_shards_of_rows_follow_their_cells(spark):
     load = np.bincount([r["shard"] for r in rows], [r["size"] for r in rows], 7)
     assert len(rows) == 4000 and load.max() <= 1.0001 * load.mean() + 8 + 3 * 70
     assert all(r["size"] == 8 + 3 * (r["doc_id"] % 70) for r in rows)
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    docs = spark.range(900).select(F.when(F.col("id") < 300, 7).when(F.col("id") > 320, F.col("id")).alias("doc_id"), F.repeat(F.lit("x"), F.when(F.col("id") < 250, 5).otherwise(F.col("id") % 90).cast("int")).alias("text"))
+    one, other = (sorted(sharding.shard_documents(docs.repartition(n), 7).collect(), key=repr) for n in (1, 5))
+    assert one == other and len({r["shard"] for r in one if r["doc_id"] == 7}) > 3
