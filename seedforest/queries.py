@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import color, cost, view
-from .operators import cluster, hierarchy, scribble, seeds, selection, stencil, trees, watershed
+from .operators import cluster, hierarchy, resize, scribble, seeds, selection, stencil, trees, watershed
 from .plans import carriers as c
 from .plans.segment import segment
 from .plans.tables import segment_tables as segment_by_tables
@@ -529,6 +529,28 @@ def scribble_overlay(spark, sf):
     return c.gray(spark, sf).join(marks, ["image_id", "x", "y"], "left").select("image_id", "idx", *[e.alias(k) for k, e in seen.items()])
 
 
+def _zoom(name: str, value: float):
+    # images of 50 and of fewer lines: the view keeps its size where the new one had fewer than 900 pixels
+    taps = lambda k, old, new, at: f"""{k}0 AS (SELECT DISTINCT {old} AS old, {new} AS new, {old} / {new}::DOUBLE AS ratio FROM z),
+        {k}1 AS (SELECT old, new, {at}, t AS tap, (t - ({at} + 0.5) * ratio + 0.5) / greatest(ratio, 1) AS far FROM {k}0, range(500) a({at}), range(500) b(t)
+            WHERE {at} < new AND t < old AND t >= floor(({at} + 0.5) * ratio - 3 * greatest(ratio, 1) + 0.5) AND t < floor(({at} + 0.5) * ratio + 3 * greatest(ratio, 1) + 0.5)),
+        {k}2 AS (SELECT *, CASE WHEN far = 0 THEN 1 WHEN abs(far) >= 3 THEN 0 ELSE sin(pi() * far) / (pi() * far) * sin(pi() * far / 3) / (pi() * far / 3) END AS raw FROM {k}1),
+        {k} AS MATERIALIZED (SELECT old, new, {at}, tap, raw / sum(raw) OVER (PARTITION BY old, new, {at}) AS w FROM {k}2)"""
+    level = lambda c: f"CAST(least(greatest(floor(round(sum({c} * w), 6) + 0.5), 0), 255) AS INT) AS {c}"
+    recursive = f"""z1 AS (SELECT image_id, max(x) + 1 AS cols, max(y) + 1 AS lines FROM rgb GROUP BY 1),
+        z AS (SELECT *, CAST(floor(cols * s) AS INT) AS new_cols, CAST(floor(lines * s) AS INT) AS new_lines FROM (SELECT *, CASE WHEN {value}::DOUBLE * cols * {value}::DOUBLE * lines BETWEEN 900 AND 10000000 THEN {value}::DOUBLE ELSE 1 END AS s FROM z1)),
+        {taps("wx", "cols", "new_cols", "zx")}, {taps("wy", "lines", "new_lines", "zy")},
+        h AS (SELECT rgb.image_id, zx, y, {level("r")}, {level("g")}, {level("b")} FROM rgb JOIN z ON z.image_id = rgb.image_id JOIN wx ON wx.old = cols AND wx.new = new_cols AND wx.tap = rgb.x GROUP BY 1, 2, 3)"""
+
+    @query(sql(f"SELECT h.image_id, CAST(zx AS INT) AS x, CAST(zy AS INT) AS y, {level('r')}, {level('g')}, {level('b')} FROM h JOIN z ON z.image_id = h.image_id JOIN wy ON wy.old = lines AND wy.new = new_lines AND wy.tap = h.y GROUP BY ALL", "rgb", recursive=recursive), name)
+    def run(spark, sf):
+        return resize.zoomed(c.rgb(spark, sf).drop("idx"), value)
+
+
+_zoom("zoomed_in", 1.5)
+_zoom("zoomed_out", 0.6)
+
+
 @query(sql("SELECT image_id, idx, format('#{:02x}{:02x}{:02x}', r, g, b) AS color FROM rgb", "rgb"))
 def hex_color(spark, sf):
     return c.rgb(spark, sf).select("image_id", "idx", color.hex_color(F.col("r"), F.col("g"), F.col("b")).alias("color"))
