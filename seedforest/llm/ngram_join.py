@@ -14,10 +14,11 @@ shingles in the other set. A point stands in the subtrees (cells) of these segme
 fix how many segments there are; a set also stands in the next band if a larger partner can lie there. Small sets whose shingles crowd into too few segments
 stand in all of theirs and, to meet one another, under their r + 1 first shingles themselves. A cell that only one text has is dropped.
 
-1. Rounds of stars: each text of a component is held against one text in one of its cells, and components grow by verified links; cells inside a component go.
+1. Rounds of stars: each text of a component is held against one text in one of its cells (by their points, then by their words), and components grow by verified links; cells
+   inside a component go.
 2. In cells that still hold several components, packed trees search for pairs of different components. Cells of more than PAGE points are
    cut into pages of near sizes, and pairs of pages whose sizes can be linked are searched as tasks of their own. First each text asks for its nearest
-   point only, until this links nothing any more; then all pairs that the bound leaves over are verified.
+   point in a few of its cells only, until this links little any more; then all pairs that the bound leaves over, in all cells, are verified.
 No cell, page or partner is capped: the work in a cell of many different components that the bound can't tell apart is quadratic, spread over pages, and
 only pairs that pass the bound are ever written.
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -40,7 +41,7 @@ from .common import cut, drop, map_arrow, release, with_keys
 from .minhash import confirm, sets_of
 
 SHINGLE, PERCENT = 5, 80
-GROUPS, PAGE, FAN = 64, 512, 16
+GROUPS, PAGE, FAN, FEW = 64, 512, 16, 3
 #: Sums of the sizes of points that a task searches together; segments for each shingle of a band's largest set.
 PACK, SEGMENTS = 4_000_000, 0.25
 _U = np.uint64
@@ -216,17 +217,44 @@ def open_cells(held: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def stars(cells: DataFrame, turn: int) -> DataFrame:
+def stars(cells: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each node of open cells one text of another label in one of them: a (the same for many, by a hash of the round), b, n_a, n_b. Sizes too far apart go."""
     rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("own"))
     hubs = cells.groupBy("key").agg(F.min(rank).alias("m"))
     met = cells.join(hubs, "key").where("label <> m.own").groupBy("node", "n").agg(F.min("m").alias("m"))
-    return met.select("m.a", F.col("node").alias("b"), "m.n_a", F.col("n").alias("n_b"))
+    return met.select("m.a", F.col("node").alias("b"), "m.n_a", F.col("n").alias("n_b")).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+
+
+def bounded(asked: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs a, b, n_a, n_b whose points can be linked."""
+    kind = asked.schema["a"].dataType.simpleString()
+    of = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
+    met = asked.join(of("a"), ["a", "n_a"]).join(of("b"), ["b", "n_b"]).select("a", "b", "n_a", "n_b", "point_a", "point_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(k).to_numpy() for k in (2, 3)]
+            raw = [batch.column(k).to_pylist() for k in (4, 5)]
+            groups = np.array([groups_of(n) for n in np.minimum(*sizes).tolist()], np.int64)
+            keep = np.zeros(batch.num_rows, bool)
+            for g in np.unique(groups).tolist():
+                every = np.flatnonzero(groups == g)
+                for k in range(0, len(every), max(1, (1 << 21) // g)):
+                    rows = every[k : k + max(1, (1 << 21) // g)]
+                    x, y = (unpacked([raw[side][r] for r in rows], sizes[side][rows], g) for side in (0, 1))
+                    keep[rows] = np.minimum(x, y).sum(1, dtype=np.int64) * (100 + percent) >= percent * (sizes[0][rows] + sizes[1][rows])
+            yield batch.filter(pa.array(keep)).select(["a", "b", "n_a", "n_b"])
+
+    return map_arrow(met, run, f"a {kind}, b {kind}, n_a long, n_b long").distinct()
 
 
 def candidates(members: DataFrame, points: DataFrame, percent: int, nearest: bool, page: int = PAGE) -> DataFrame:
-    """members: open_cells(). Pairs of nodes with different labels that share a cell and whose points can be linked: a, b, n_a, n_b. nearest: for each node its nearest one only."""
+    """members: open_cells(). Pairs of nodes with different labels that share a cell and whose points can be linked: a, b, n_a, n_b. nearest: for each node its nearest one
+    only, in the FEW of its cells that come first by a hash (which texts that have much in common choose alike)."""
     kind = members.schema["node"].dataType.simpleString()
+    if nearest:
+        few = members.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key"), "key"))).where(F.col("turn") <= FEW).drop("turn", "rows")
+        members = few.join(few.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
     # pages of large cells: sizes within a tenth of one another, dealt out evenly
     members = members.withColumn("size", F.when(F.col("rows") > page, F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.1)))).otherwise(0).cast("int"))
     counts = cut(members.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / page).cast("int").alias("pages"), F.min("n").alias("low"), F.max("n").alias("high")))
@@ -268,17 +296,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = cut(named.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
 
     keyed = apart.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"))
+    met = cut(with_keys(keyed, [keyed["key"]], shared, "left_semi"))
     # of cells that hold the very same texts (by 128 bits of hash over them, and their number) one is enough
     mark = [F.bit_xor(F.xxhash64("node", "n", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
-    cells = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), *mark, F.count(F.lit(1)).alias("rows")).where("x <> y")
-    shared = cut(cells.groupBy("mark0", "mark1", "rows").agg(F.min("key").alias("key")).select("key"))
-    held = cut(with_keys(keyed, [keyed["key"]], shared, "left_semi"))
+    cells = met.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), *mark, F.count(F.lit(1)).alias("rows")).where("x <> y")
+    chosen = cut(cells.groupBy("mark0", "mark1", "rows").agg(F.min("key").alias("key")).select("key"))
+    held = cut(met.join(chosen, "key", "left_semi"))
     nodes = cut(held.select(F.col("node").alias("id")).distinct())
     points = with_keys(apart, [apart["id"]], nodes, "left_semi")
     points = cut(points.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "point"))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = cut(with_keys(text, [text["id"]], nodes, "left_semi"))
-    drop(every, copied, twice, shared)
+    drop(every, copied, twice, shared, met, chosen)
 
     links, label, cells, turn = own, None, None, 0
     kinds = ["star", "nearest", "all"]
@@ -297,16 +326,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         done = parts - cells.select("label").distinct().count()
         if not kinds or done == parts:
             break
-        asked = cut(stars(cells, turn)) if kinds[0] == "star" else candidates(cells, points, percent, kinds[0] == "nearest", page)
+        asked = cut(bounded(stars(cells, turn, percent), points, percent)) if kinds[0] == "star" else candidates(cells, points, percent, kinds[0] == "nearest", page)
+        ends = cut(asked.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = cut(with_keys(text, [text["id"]], ends, "left_semi"))
         new = confirm(asked, texts, percent)
         grown = cut(links.unionByName(new))
-        drop(asked, new, links)
+        drop(asked, ends, texts, new, links)
         links, turn = grown, turn + 1
         if kinds[0] == "all":
             known = components(links)
             break
     final = cut(classes.select("digest", "rep").join(known, classes["rep"] == known["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    drop(classes, nodes, points, texts, links, label, cells, known)
+    drop(classes, nodes, points, links, label, cells, known)
     out = slim.join(final, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
