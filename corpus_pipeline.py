@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seedforest.llm import exact_dedup, minhash, mixing, pieces, toxicity
-from seedforest.llm.common import cut, read
+from seedforest.llm.common import cut, drop, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, kept = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs, before = cut(stage(spark, docs, sf_dir)), kept
+        if before is not None:  # no later stage reads it
+            drop(before)
+        kept = docs
     return STAGES[-1][1](spark, docs, sf_dir)
