@@ -200,6 +200,11 @@ def _search(percent: int, nearest: bool):
             best = np.lexsort((-share, nodes[a]))
             best = best[np.concatenate([[True], nodes[a[best]][1:] != nodes[a[best]][:-1]])]
             a, b, share = a[best], b[best], share[best]
+        elif len(a):  # a pair that meets in several cells counts once
+            names, nodes = np.unique(table.column("node").to_numpy(zero_copy_only=False), return_inverse=True)
+            pairs = np.minimum(nodes[a], nodes[b]) * len(names) + np.maximum(nodes[a], nodes[b])
+            once = np.unique(pairs, return_index=True)[1]
+            a, b, share = a[once], b[once], share[once]
         nodes = table.column("node").combine_chunks() if table.num_rows else pa.array([], table.schema.field("node").type)
         out = pa.table({"a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b)), "n_a": pa.array(sizes[a]), "n_b": pa.array(sizes[b]), "share": pa.array(share)})
         release()
@@ -257,19 +262,20 @@ def candidates(members: DataFrame, points: DataFrame, percent: int, nearest: boo
         members = few.join(few.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
     # pages of large cells: sizes within a tenth of one another, dealt out evenly
     members = members.withColumn("size", F.when(F.col("rows") > page, F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.1)))).otherwise(0).cast("int"))
-    counts = cut(members.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / page).cast("int").alias("pages"), F.min("n").alias("low"), F.max("n").alias("high")))
+    counts = cut(members.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / page).cast("int").alias("pages"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("lead")))
     part = F.struct("size", F.pmod(F.xxhash64("node"), "pages").cast("int").alias("part")).alias("page")
     paged = members.join(counts.select("key", "size", "pages"), ["key", "size"]).select("key", "node", "n", "label", part)
-    pages = counts.select("key", "low", "high", F.explode(F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda p: F.struct("size", p.cast("int").alias("part")))).alias("page"))
-    one = pages.select("key", F.col("page").alias("p"), F.col("low").alias("l"), F.col("high").alias("h"))
+    pages = counts.select("key", "low", "high", "lead", F.explode(F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda p: F.struct("size", p.cast("int").alias("part")))).alias("page"))
+    one = pages.select("key", "lead", F.col("page").alias("p"), F.col("low").alias("l"), F.col("high").alias("h"))
     two = pages.select(F.col("key").alias("k"), F.col("page").alias("q"), "low", "high")
     met = one.join(two, (F.col("key") == F.col("k")) & (F.col("p") <= F.col("q")) & (F.col("low") * percent <= F.col("h") * 100) & (F.col("l") * percent <= F.col("high") * 100))
-    met = cut(met.select("key", "p", "q", F.xxhash64("key", "p", "q").alias("cell")))
-    sides = met.select("key", F.col("p").alias("page"), "cell", F.lit(0).alias("side")).unionByName(met.where("p <> q").select("key", F.col("q").alias("page"), "cell", F.lit(1).alias("side")))
-    placed = cut(paged.join(sides, ["key", "page"]).select("cell", "side", "node", "n", "label"))
+    # cells of one first node hold much the same texts: they go to the same packs, a quarter each, where a pair that they share counts once
+    met = cut(met.select("key", "p", "q", F.xxhash64("key", "p", "q").alias("cell"), F.xxhash64("lead", "p", "q", F.pmod("key", F.lit(4))).alias("beside")))
+    sides = met.select("key", F.col("p").alias("page"), "cell", "beside", F.lit(0).alias("side")).unionByName(met.where("p <> q").select("key", F.col("q").alias("page"), "cell", "beside", F.lit(1).alias("side")))
+    placed = cut(paged.join(sides, ["key", "page"]).select("cell", "beside", "side", "node", "n", "label"))
     packs = max(64, int((placed.agg(F.sum("n")).first()[0] or 0) // PACK))
     where = points.select(F.col("node").alias("of"), F.col("n").alias("size"), "point")
-    rows = placed.join(where, (F.col("node") == F.col("of")) & (F.col("n") == F.col("size"))).select(F.pmod("cell", F.lit(packs)).alias("pack"), "cell", "side", "node", "n", "label", "point")
+    rows = placed.join(where, (F.col("node") == F.col("of")) & (F.col("n") == F.col("size"))).select(F.pmod("beside", F.lit(packs)).alias("pack"), "cell", "side", "node", "n", "label", "point")
     found = rows.groupBy("pack").applyInArrow(_search(percent, nearest), f"a {kind}, b {kind}, n_a long, n_b long, share double")
     if nearest:  # of both sides of a pair of pages, and of all cells
         found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "share"))
