@@ -52,12 +52,12 @@ def removed_in_order(trees: DataFrame, adjacency: DataFrame, protected: DataFram
     return found
 
 
-def kept_by_class(trees: DataFrame, adjacency: DataFrame, obj_markers: int = 1, compat: bool = True) -> DataFrame:
+def kept_by_class(trees: DataFrame, adjacency: DataFrame, obj_markers: int = 1, compat: bool = True, pixels: int | None = None) -> DataFrame:
     """trees: tree_stats() with label and is_grid. The trees that stay: image_id, tree_id, label, is_grid and new_id, their number from now on.
 
     Scribbled trees stay if they have a neighbour. Grid trees among background only go in order of priority (removed_in_order) as far as their class's threshold; grid trees beside the
     object stay from the threshold of theirs up, cut to an integer with compat=True. Scribbled trees come first, then the former by priority, then the latter from the largest down."""
-    judged = tree_classes(trees.withColumn("is_object", F.col("label") <= obj_markers), adjacency).join(trees.select("image_id", "tree_id", "label", "is_grid"), ["image_id", "tree_id"])
+    judged = tree_classes(trees.withColumn("is_object", F.col("label") <= obj_markers), adjacency, pixels).join(trees.select("image_id", "tree_id", "label", "is_grid"), ["image_id", "tree_id"])
     judged = cut(judged)
     limits = class_thresholds(judged.drop("label", "is_grid"), compat)
     limit = lambda group, name: limits.where(F.col("group") == group).select("image_id", F.col("threshold").alias(name))

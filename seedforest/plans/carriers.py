@@ -11,6 +11,8 @@ from ..operators.seeds import lattice
 from ..operators.stencil import gradient
 
 ROWS, COLS, SAMPLES = 50, 64, 12
+#: Of an image; the last one has fewer where the embeddings end within it.
+PIXELS = ROWS * COLS
 #: (marker, centre x, centre y); marker 0 is the object. Marker 3 overlaps marker 2.
 MARKERS = ((0, 16, 25), (1, 48, 12), (2, 50, 40), (3, 49, 41))
 RADIUS = 2
