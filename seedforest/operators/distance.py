@@ -36,17 +36,21 @@ def envelope(y: np.ndarray, height: np.ndarray) -> np.ndarray:
     return (y - np.array(foot)[lowest]) ** 2 + np.array(own)[lowest]
 
 
-def distance_squared(pixels: DataFrame, marked: DataFrame) -> DataFrame:
+def distance_squared(pixels: DataFrame, marked: DataFrame, outside: bool = False) -> DataFrame:
     """pixels, marked: image_id, x, y. Returns image_id, x, y, d2 for each pixel (once): the squared distance to the nearest marked pixel of its image; null where there is none. Marked
-    points that aren't pixels are left out."""
+    points that aren't pixels are left out; with outside=True they count, within the rectangle of pixels and marked points."""
     once = pixels.select("image_id", "x", "y").distinct()
+    marked = marked.select("image_id", "x", "y").distinct()
+    spread = once.withColumn("pixel", F.lit(1))
+    if outside:
+        spread = spread.unionByName(marked.join(once.select("image_id").distinct(), "image_id", "left_semi").withColumn("pixel", F.lit(0)))
     # an image with holes is filled up to its rectangle: distances go across the holes
-    size = once.groupBy("image_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+    size = spread.groupBy("image_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("pixel").alias("n"))
     open_images = size.where("n < (x1 - x0 + 1L) * (y1 - y0 + 1L)").withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
     holes = open_images.select("image_id", "x", "y").join(once, ["image_id", "x", "y"], "left_anti")
-    once = once.withColumn("hole", F.lit(False)).unionByName(holes.withColumn("hole", F.lit(True))).join(marked.select("image_id", "x", "y", F.lit(True).alias("on")).distinct(), ["image_id", "x", "y"], "left")
+    once = once.withColumn("hole", F.lit(False)).unionByName(holes.withColumn("hole", F.lit(True))).join(marked.withColumn("on", F.lit(True)), ["image_id", "x", "y"], "left")
     line = Window.partitionBy("image_id", "y").orderBy("x")
-    here = F.when(F.col("on") & ~F.col("hole"), F.col("x"))
+    here = F.when(F.col("on") if outside else F.col("on") & ~F.col("hole"), F.col("x"))
     before, behind = F.last(here, True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.first(here, True).over(line.rowsBetween(0, Window.unboundedFollowing))
     beside = F.least(F.col("x") - before, behind - F.col("x")).cast("long")
     swept = once.withColumn("beside", F.coalesce(beside * beside, F.lit(-1).cast("long")))
