@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import vec
-from .common import cut, drop, map_arrow, release, spans_of_texts, text_buffer, unused, with_keys
+from .common import cut, drop, map_arrow, may_meet, release, spans_of_texts, text_buffer, unused, with_keys
 
 BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
@@ -337,23 +337,30 @@ def rest_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """id_col, n_shingles, component_id, kept for every row."""
-    every = cut(sketch(docs, id_col, text_col, shingle, bands, rows))
-    real = every.where("n_shingles > 0 and id is not null")
-    classes = cut(real.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-    keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(0)).alias("h"), "rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members"))
-    hubs = hubs.where("members > 1").select("key", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"))
-    stars = cut(keyed.join(hubs, "key").select("a", F.col("rep").alias("b"), "n_a", F.col("n").alias("n_b")).where("a <> b").distinct())
+    real = lambda t: t.where("n_shingles > 0 and id is not null")
+    sketched = cut(sketch(docs, id_col, text_col, shingle, bands, rows))
+    with_bands = cut(real(sketched).groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    every = cut(sketched.drop("keys"))
+    drop(sketched)
+    # a bucket's hub is known by its hash; of all keys only those that may have several members are dealt out with what belongs to them
+    keyed = with_bands.select(F.xxhash64("rep", F.lit(0)).alias("h"), "rep", "n", F.explode("keys").alias("key"))
+    hubs = cut(keyed.groupBy("key").agg(F.min("h").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "hub"))
+    shared = may_meet(keyed, [keyed["key"]], hubs, "may").where("may")
+    met = cut(shared.join(hubs, "key").select("hub", "h", "rep", "n").distinct())
+    heads = met.where("h = hub").select("hub", F.col("rep").alias("a"), F.col("n").alias("n_a"))
+    stars = cut(met.join(heads, "hub").select("a", F.col("rep").alias("b"), "n_a", F.col("n").alias("n_b")).where("a <> b"))
+    classes = cut(with_bands.drop("keys"))
+    drop(with_bands, hubs, met)
 
     # texts of one id: all of them are the same node
-    twice = cut(real.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"))
-    named = real.join(twice, "id").select("id", "digest").join(classes.select("digest", "rep"), "digest")
+    twice = cut(real(every).groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"))
+    named = real(every).join(twice, "id").select("id", "digest").join(classes.select("digest", "rep"), "digest")
     own = cut(named.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
 
     cluster = components(stars.unionByName(own, allowMissingColumns=True))
     ids = cut(cluster.select(F.col("node").alias("key")))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = cut(with_keys(text, [text["id"]], ids, "left_semi"))
+    texts = cut(may_meet(text, [text["id"]], ids, "may").where("may").drop("may"))  # and few others, which no join asks for
     links = confirm(stars, texts, percent, block)
     known = components(links.unionByName(own))
     sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"))
@@ -363,7 +370,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = cut(classes.select("digest", "rep").join(label, classes["rep"] == label["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")))
     drop(classes, stars, twice, own, cluster, ids, texts, links, known, rest, label)
 
-    out = every.drop("keys").join(final, "digest", "left")
+    out = every.join(final, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
