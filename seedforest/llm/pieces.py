@@ -380,6 +380,16 @@ def lattice(vocabulary: tuple, nbest: int) -> Lattice:
     return _lattices[key]
 
 
+def _changes(edits: list[list[list[tuple[int, int, bytes]]]]) -> pa.Array:
+    """The changes of each of the N best of each text, as an array of type CHANGES."""
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    every = [c for e in edits for c in e]
+    flat = [x for c in every for x in c]
+    ids = pa.ListArray.from_arrays(ends([len(own) // 4 for *_, own in flat]), pa.array(np.frombuffer(b"".join(own for *_, own in flat), "<i4")))
+    one = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)] + [ids], fields=list(CHANGES.value_type.value_type))
+    return pa.ListArray.from_arrays(ends([len(e) for e in edits]), pa.ListArray.from_arrays(ends([len(c) for c in every]), one))
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nbest: int = NBEST, vocabulary: tuple | None = None, tokens: bool = True) -> DataFrame:
     """id_col, n_tokens, tokens_sha256 (of little-endian 32-bit ids), score, nbest_scores, nbest_sha256 (of the ids of each of the N best), round_trip (whether
     decoding the ids gives the text back) and, with tokens=True, tokens and nbest_changes (for each of the N best where it differs from tokens: `n` ids from
@@ -402,14 +412,14 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rows.append((len(ids), digests[0], score, [s for s, _ in found], digests, model.decode(ids.tolist()) == text))
                     lists.append(ids)
                     if tokens:
-                        edits.append([[{"at": at, "n": n, "ids": np.frombuffer(own, "<i4")} for at, n, own in c] for _, c in found])
+                        edits.append([c for _, c in found])
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.bool_()]
                 made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 names = ["id", "n_tokens", "tokens_sha256", "score", "nbest_scores", "nbest_sha256", "round_trip"]
                 if tokens:
                     at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                     made.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists), pa.int32())))
-                    made.append(pa.array(edits, CHANGES))
+                    made.append(_changes(edits))
                     names += ["tokens", "nbest_changes"]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made], names=names)
         model.forget()
