@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, drop
-from .hierarchy import ATTRIBUTES, boruvka, bottlenecks, heights, marker_reach
+from .hierarchy import ATTRIBUTES, Regions, boruvka, bottlenecks, heights, marker_reach
 from .stencil import EDGE_WEIGHTS, edge_graph, edge_weights
 
 OBJECT, BACKGROUND = 1, 2
@@ -42,18 +42,24 @@ def watershed_tree(pixels: DataFrame, attribute: str = "area", weight: str = "l1
     return out
 
 
-def edge_saliency(tree: DataFrame, edges: DataFrame) -> DataFrame:
-    """tree: watershed_tree(). edges with image_id, a, b. Adds saliency: the height at which the two pixels become one region."""
-    regions = boruvka(tree.select("image_id", "a", "b", F.col("height").alias("weight")))
-    found = bottlenecks(regions, edges.select("image_id", "a", "b").distinct())
-    regions.drop()
+def cut_regions(tree: DataFrame) -> Regions:
+    """Regions that the heights of a watershed_tree() join, for saliency and marker cuts."""
+    return boruvka(tree.select("image_id", "a", "b", F.col("height").alias("weight")))
+
+
+def edge_saliency(tree: DataFrame, edges: DataFrame, regions: Regions | None = None) -> DataFrame:
+    """tree: watershed_tree(). edges with image_id, a, b. Adds saliency: the height at which the two pixels become one region. regions: cut_regions(tree), if the caller has (and drops) them."""
+    own = regions or cut_regions(tree)
+    found = bottlenecks(own, edges.select("image_id", "a", "b").distinct())
+    if regions is None:
+        own.drop()
     return edges.join(found.select("image_id", "a", "b", F.col("edge.weight").alias("saliency")), ["image_id", "a", "b"])
 
 
-def saliency_map(tree: DataFrame, edges: DataFrame, pixels: DataFrame) -> DataFrame:
+def saliency_map(tree: DataFrame, edges: DataFrame, pixels: DataFrame, regions: Regions | None = None) -> DataFrame:
     """image_id, x, y, saliency: of the four pixels around the lower right corner of each pixel the largest edge saliency, as 255 (1 - sqrt(s / largest of the image)); the last line and
     column repeat the ones before. 255 everywhere where nothing stands out."""
-    salient = edge_saliency(tree, edges)
+    salient = edge_saliency(tree, edges, regions)
     beside = F.when(F.col("right"), F.struct("x", (F.col("y") - 1).alias("y"))).otherwise(F.struct((F.col("x") - 1).alias("x"), "y"))
     corners = salient.select("image_id", F.explode(F.array(F.struct("x", "y"), beside)).alias("c"), "saliency").where("c.x >= 0 and c.y >= 0")
     corners = cut(corners.groupBy("image_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy")).agg(F.max("saliency").alias("s")))
@@ -72,14 +78,15 @@ def stamped(scribbles: DataFrame) -> DataFrame:
     return scribbles.where("x > 0 and y > 0").select("image_id", block.alias("p"), "is_object").select("image_id", "p.x", "p.y", "is_object").distinct()
 
 
-def marker_labels(tree: DataFrame, pixels: DataFrame, scribbles: DataFrame) -> DataFrame:
+def marker_labels(tree: DataFrame, pixels: DataFrame, scribbles: DataFrame, regions: Regions | None = None) -> DataFrame:
     """image_id, x, y, label. A pixel is object (1) if the smallest region of the hierarchy that holds it and object marks holds no background mark; else background (2)."""
     wide = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("cols"))
     placed = cut(pixels.select("image_id", "x", "y").distinct().join(wide, "image_id").withColumn("node", (F.col("y") * F.col("cols") + F.col("x")).cast("long")))
     marked = placed.join(stamped(scribbles), ["image_id", "x", "y"]).select("image_id", "node", F.col("is_object").alias("kind"))
-    regions = boruvka(tree.select("image_id", "a", "b", F.col("height").alias("weight")))
-    reach = marker_reach(regions, placed.select("image_id", "node"), marked)
-    regions.drop()
+    own = regions or cut_regions(tree)
+    reach = marker_reach(own, placed.select("image_id", "node"), marked)
+    if regions is None:
+        own.drop()
     sides = reach.groupBy("image_id", "node").agg(F.max(F.when(F.col("kind"), F.col("reach"))).alias("o"), F.max(F.when(~F.col("kind"), F.col("reach"))).alias("b"))
     inside = F.col("o").isNotNull() & (F.col("b").isNull() | (F.col("o") < F.col("b")))
     return placed.join(sides, ["image_id", "node"], "left").select("image_id", "x", "y", F.when(inside, OBJECT).otherwise(BACKGROUND).alias("label"))
@@ -94,7 +101,9 @@ def watershed(pixels: DataFrame, scribbles: DataFrame, attribute: str = "area",
     regions = boruvka(edges.select("image_id", "a", "b", "weight"))
     tree = heights(regions, attribute)
     regions.drop()
-    labels, seen = marker_labels(tree, pixels, scribbles), saliency_map(tree, edges, pixels)
+    regions = cut_regions(tree)
+    labels, seen = marker_labels(tree, pixels, scribbles, regions), saliency_map(tree, edges, pixels, regions)
+    regions.drop()
     wide = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("cols"))
     out = cut(labels.join(seen, ["image_id", "x", "y"]).join(wide, "image_id").select("image_id", (F.col("y") * F.col("cols") + F.col("x")).cast("long").alias("idx"), "label", "saliency"))
     drop(pixels, edges, tree)
