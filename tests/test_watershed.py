@@ -104,6 +104,19 @@ def test_prefixes_do_not_depend_on_blocks(spark):
     assert one == many
 
 
+@pytest.mark.parametrize("bits", [1, 4])
+def test_tiles_change_nothing(spark, monkeypatch, bits):
+    """Images over many tiles have the spanning trees and heights of those within one, and those need no round of joins."""
+    graph = watershed.graph(table(spark, made(6)))
+    rounds, roots = [], hierarchy._roots
+    monkeypatch.setattr(hierarchy, "_roots", lambda best: rounds.append(1) or roots(best))
+    whole = sorted(map(tuple, hierarchy.heights(hierarchy.boruvka(graph)).collect()))
+    assert whole and not rounds
+    monkeypatch.setattr(hierarchy, "TILE", bits)
+    assert sorted(map(tuple, hierarchy.heights(hierarchy.boruvka(graph)).collect())) == whole
+    assert rounds
+
+
 def test_missing_values_parts_and_empty_tables(spark):
     edges = spark.createDataFrame([(1, 5, 6, 2.0), (1, 6, 5, 1.0), (1, 6, 6, 0.0), (1, 7, 8, None), (2, 5, 6, 3.0)], "image_id int, a long, b long, weight double")
     found = sorted(map(tuple, hierarchy.heights(hierarchy.boruvka(edges)).collect()))
