@@ -13,10 +13,12 @@ each. Hashes of words and shingles are computed anew there and held against the
 
 Where the confirmed links leave a cluster in several components, more of its members may be linked with one another. Two sets of that similarity share one of
 their first n - ceil(0.75 n) + 1 shingles in any common order; the order here is the rarest first, by a count sketch of fixed size over such clusters. Only members of different
-components that share such a shingle can be linked, so what many documents have in common (a template) brings nobody together. They are grouped again by these
-shingles and held against each other, those outside a group's largest component against all, in blocks of bounded size. Where a group fills more than one block, it first falls apart
-into bands of sizes near enough to be linked (each member is in two). So no partner is capped, no link
-between different texts is lost, and a large group that its hubs already hold together costs no more. The work within such a group of rare shingles is still quadratic.
+components that share such a shingle can be linked, so what many documents have in common (a template) brings nobody together. Members meet in a shingle's cell by bands
+of sizes near enough to be linked (each member is in two). Cells of at most LIGHT members name their pairs, as ids, and a pair's cells are counted: sets that are linked
+share not one but alpha - ceil(0.75 n) + 1 of these shingles (alpha: what both must have in common, n: the larger size), so only pairs with so many are held against each other as texts.
+Larger cells make groups, directly or through others, whose members are held against each other, those outside a group's largest component against all, in blocks of bounded
+size. So shingles that few share chain no members together whose texts would then go to all blocks of a large group; no partner is capped, no link
+between different texts is lost, and a large group that its hubs already hold together costs no more. The work within a group of large cells is still quadratic.
 
 Components come from contracting links to the neighbour with the smallest hash of the round (the numbers of nodes fall geometrically); nothing is collected but the sketch.
 
@@ -34,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -47,6 +49,8 @@ SHINGLE = 5
 #: Most shingles and most members that a block should have (one member at least), and the shingles that a task gets together.
 BLOCK, BLOCK_MEMBERS = 300_000, 1024
 PACK = 400_000
+#: Members of a rare shingle's cell up to which its pairs are named one by one.
+LIGHT = 32
 SKETCH_BITS = 20
 PERCENT = 75
 CHUNK = 1 << 20
@@ -251,13 +255,16 @@ def _packs(placed: DataFrame, n: str = "n") -> int:
 
 def confirm(stars: DataFrame, texts: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """stars: a (hub), b, n_a, n_b (the sizes of their sets). Those with percent or more of their union in common, decided on their words. Sizes too far apart can't be linked."""
-    near = stars.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    hubs = near.groupBy("a", "n_a").agg(F.ceil(F.greatest(F.sum("n_b") / block, F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    return _compared(stars.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)), texts, percent, block)
+
+
+def _compared(near: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    hubs = near.groupBy("a").agg(F.max("n_a").alias("n_a"), F.ceil(F.greatest(F.sum("n_b") / block, F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     members = near.join(hubs.drop("n_a"), "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), "blocks").cast("int")).alias("cell"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.lit(False).alias("hub"))
     copies = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("a", "block").alias("cell"), F.col("a").alias("node"), F.col("n_a").alias("n"), F.lit(True).alias("hub"))
     placed = cut(members.unionByName(copies))
     rows = placed.withColumn("pack", F.pmod("cell", F.lit(_packs(placed)))).join(texts, placed["node"] == texts["id"]).select("pack", "cell", "node", "hub", "text")
-    kind = stars.schema["b"].dataType.simpleString()
+    kind = near.schema["b"].dataType.simpleString()
     links = cut(rows.groupBy("pack").applyInArrow(_match_stars(percent), f"a {kind}, b {kind}"))
     drop(placed)
     return links
@@ -267,8 +274,8 @@ def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def rare_groups(held: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bits: int = SKETCH_BITS) -> DataFrame:
-    """held: node, label, text. Returns node and group: members that share rare shingles with members of other labels, directly or through others."""
+def rare_tokens(held: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bits: int = SKETCH_BITS) -> DataFrame:
+    """held: node, label, text. Returns node, label, n (the size of the text's set) and token, once for each of the rare shingles of which texts that are linked have one in common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -293,31 +300,63 @@ def rare_groups(held: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
                     take = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
                     rare.append(s[np.lexsort((s, shared.value[_slots(s, bits)]))[:take]])
                 of = pa.array(np.repeat(np.arange(a, a + len(sets)), [len(r) for r in rare]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(rare).view(np.int64))], names=["node", "label", "token"])
+                n = pa.array(np.repeat(np.array([len(s) for s in sets], np.int64), [len(r) for r in rare]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), n, pa.array(np.concatenate(rare).view(np.int64))], names=["node", "label", "n", "token"])
 
-    tokens = cut(map_arrow(held.select("node", "label", "text"), prefix, f"node {kind}, label {label_kind}, token long"))
-    mixed = cut(tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("hub")).where("x <> y").select("token", "hub"))
-    edges = cut(tokens.join(mixed, "token").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    groups = components(edges).select("node", F.col("component").alias("group"))
+    tokens = cut(map_arrow(held.select("node", "label", "text"), prefix, f"node {kind}, label {label_kind}, n long, token long"))
     shared.destroy()
-    drop(tokens, mixed, edges)
-    return groups
+    return tokens
+
+
+def rare_cells(tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """tokens: rare_tokens(). Its rows whose token and band have several labels, with class, band, members (of the cell) and hub (one of them). Sizes of one link are in
+    one class or in neighbouring ones (the width has a margin for rounding); band k holds the classes k and k + 1."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * max(math.log(100 / percent), 1e-6))).cast("int")
+    mixed = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    banded = tokens.join(mixed, "token").withColumn("class", size_class).withColumn("band", F.explode(F.array(F.col("class") - 1, F.col("class"))))
+    cell = Window.partitionBy("token", "band")
+    seen = banded.withColumns({"x": F.min("label").over(cell), "y": F.max("label").over(cell), "members": F.count(F.lit(1)).over(cell), "hub": F.min(F.struct("node", "n", "band")).over(cell)})
+    return seen.where("x <> y").drop("x", "y")
+
+
+def light_pairs(cells: DataFrame, percent: int = PERCENT, light: int = LIGHT) -> DataFrame:
+    """cells: rare_cells(). a, b, n_a, n_b: pairs of different labels that may be linked, as far as they share no cell of more than `light` members. Pairs are counted in one of their bands."""
+    one = cells.where(F.col("members") <= light).select("token", "band", F.col("node").alias("a"), F.col("n").alias("n_a"), "label", "class")
+    two = one.select("token", "band", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("label").alias("other"), F.col("class").alias("beside"))
+    met = one.join(two, ["token", "band"]).where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & (F.col("band") == F.greatest("class", "beside") - 1))
+    met = met.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
+    least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent} - ({percent} * greatest(n_a, n_b) + 99) div 100 + 1")
+    return met.where(F.col("common") >= least).drop("common")
 
 
-def rest_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def rest_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE, block: int = BLOCK, light: int = LIGHT) -> DataFrame:
     """members: node, n, cluster, label. Links between different labels of a cluster that are not known yet, as many as join all that belong together."""
-    kind = members.schema["node"].dataType.simpleString()
     several = members.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cluster")
-    split = cut(members.join(several, "cluster").select("node", "n", "label"))
+    split = cut(members.join(several, "cluster").select("node", "label"))
     held = cut(split.join(texts, split["node"] == texts["id"]).select("node", "label", "text"))
-    grouped = cut(split.join(rare_groups(held, percent, shingle), "node"))
+    own = held.select(F.col("node").alias("id"), "text")
+    tokens = rare_tokens(held, percent, shingle)
+    cells = cut(rare_cells(tokens, percent))
+    drop(tokens)
+    pairs = cut(light_pairs(cells, percent, light))
+    links = _compared(pairs, own, percent, block)
+    heavy = cells.where(F.col("members") > light)
+    edges = cut(heavy.select(F.col("hub").alias("a"), F.struct("node", "n", "band").alias("b")).distinct())
+    drop(cells, pairs)
+    if not edges.isEmpty():
+        links = links.unionByName(_group_links(edges, split, own, percent, block))
+    drop(split, held, edges)
+    return links
+
+
+def _group_links(edges: DataFrame, split: DataFrame, own: DataFrame, percent: int, block: int) -> DataFrame:
+    """edges: a and b, members (node, n, band) that share a cell. Links within the groups that these make."""
+    kind = split.schema["node"].dataType.simpleString()
+    groups = components(edges)
+    grouped = cut(groups.select("node.*", F.col("component").alias("group")).join(split, "node"))
+    drop(groups)
     near = grouped
     blocks = lambda n, rows: F.ceil(F.greatest(n / block, rows / BLOCK_MEMBERS)).cast("int")
-    wide = near.groupBy("group").agg(blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks")).where("blocks > 1").select("group", F.lit(True).alias("wide"))
-    # sizes of one link are in one class or in neighbouring ones (the width has a margin for rounding); band k holds the classes k and k + 1
-    size_class = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
-    bands = F.when(F.coalesce("wide", F.lit(False)), F.array(size_class - 1, size_class)).otherwise(F.array(F.lit(0)))
-    near = near.join(wide, "group", "left").withColumn("band", F.explode(bands)).drop("wide")
     key = ["group", "band"]
     sizes = near.groupBy(*key, "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     whole = sizes.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max(F.struct("n", "rows", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
@@ -328,10 +367,9 @@ def rest_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int
     there = near.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select("node", "n", *key, "label", F.col("block").alias("b"), "q", F.coalesce(F.col("ask_block") == F.col("q"), F.lit(False)).alias("asks"))
     asking = near.where("ask_block is not null and blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("b") != F.col("block"))
     placed = cut(there.unionByName(asking.select("node", "n", *key, "label", "b", F.col("ask_block").alias("q"), F.lit(True).alias("asks"))))
-    own = held.select(F.col("node").alias("id"), "text")
     rows = placed.withColumn("cell", F.xxhash64("group", "band", "b", "q")).withColumn("pack", F.pmod("cell", F.lit(_packs(placed)))).join(own, placed["node"] == own["id"]).select("pack", "cell", "node", "label", "asks", "text")
     links = cut(rows.groupBy("pack").applyInArrow(_match_blocks(percent), f"a {kind}, b {kind}"))
-    drop(split, held, grouped, plan, near, placed)
+    drop(grouped, plan, near, placed)
     return links
 
 
