@@ -344,7 +344,9 @@ def rest_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int
     edges = cut(heavy.select(F.col("hub").alias("a"), F.struct("node", "n", "band").alias("b")).distinct())
     drop(cells, pairs)
     if not edges.isEmpty():
-        links = links.unionByName(_group_links(edges, split, own, percent, block))
+        parts = links, _group_links(edges, split, own, percent, block)
+        links = cut(parts[0].unionByName(parts[1]))
+        drop(*parts)
     drop(split, held, edges)
     return links
 

@@ -10,8 +10,10 @@ def rest(spark, monkeypatch, **options):
     members = spark.createDataFrame([(k, max(len(t) - 4, 1), 0, k) for k, t in texts.items()], "node long, n long, cluster long, label long")
     copies = []
     monkeypatch.setattr(minhash, "_packs", lambda placed, n="n": copies.append(placed.count()) or packs(placed, n))
-    links = minhash.rest_links(members, spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "id long, text string"), 75, block=200, **options).collect()
-    return {tuple(sorted(r)) for r in links}, sum(copies)
+    links = minhash.rest_links(members, spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "id long, text string"), 75, block=200, **options)
+    found = {tuple(sorted(r)) for r in links.collect()}
+    minhash.drop(links)  # one table, as near_dedup takes it
+    return found, sum(copies)
 
 
 packs = minhash._packs
